@@ -47,7 +47,7 @@ BARS = """b0 as (select l_returnflag || l_linestatus asset, cast(l_shipdate as d
 bars as (select *, cast(row_number() over (partition by asset order by day) - 1 as int) bar from b0)"""
 HOURS = """h0 as (select event_type asset, date_trunc('hour', ts) as hr, arg_min(value, ts) as open, max(value) high, min(value) low, arg_max(value, ts) as close from events where value is not null group by 1, 2),
 bars as (select *, cast(row_number() over (partition by asset order by hr) - 1 as int) bar from h0)"""
-PANEL = """panel as (select p_brand asset, cast(date_trunc('week', l_shipdate) as date) week, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) / count(*) as close
+PANEL = """panel as (select p_brand asset, cast(date_trunc('week', l_shipdate) as date) wkd, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) / count(*) as close
  from lineitem join part on l_partkey = p_partkey group by 1, 2)"""
 FILED = "filings as (select o_orderpriority ticker, cast(cast(o_orderdate as date) + 5 as date) date_filed, o_orderkey id, o_totalprice as value from orders)"
 FORECASTS = "f as (select round(l_discount * 10, 6) prob, case when l_returnflag = 'R' then 1.0 else 0.0 end outcome from lineitem)"

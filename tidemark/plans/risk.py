@@ -174,8 +174,8 @@ def panel(spark, sf_dir):
     return panels.build_panel(weekly_panel(spark, sf_dir), "week")
 
 
-FULL = f"""{PANEL}, dn as (select week, count(distinct asset) n from panel group by week), wk as (select week, cast(row_number() over (order by week) - 1 as int) bar from dn where week >= (select min(week) from dn where n >= 10)),
-fa as (select asset from panel join wk using (week) group by asset having count(*) = (select count(*) from wk)), pnl0 as (select asset, bar, close from panel join wk using (week) join fa using (asset))"""
+FULL = f"""{PANEL}, dn as (select wkd, count(distinct asset) n from panel group by wkd), wk as (select wkd, cast(row_number() over (order by wkd) - 1 as int) bar from dn where wkd >= (select min(wkd) from dn where n >= 10)),
+fa as (select asset from panel join wk using (wkd) group by asset having count(*) = (select count(*) from wk)), pnl0 as (select asset, bar, close from panel join wk using (wkd) join fa using (asset))"""
 
 
 @query(f"with {FULL} select asset, count(*) n, max(bar) last_bar, round(avg(close), 4) mean_close from pnl0 group by asset")
@@ -298,7 +298,7 @@ def factor_portfolio(spark, sf_dir):
 
 
 RHO = f"""{FULL}, x as (select asset, bar, {Q.ret()} ret from pnl0), y as (select *, {Q.roll('var_samp', 'ret', 21)} v from x), g as (select bar, avg(ret) ir, avg(v) av, count(ret) m, 1 as one from y group by bar),
-rh as (select bar, greatest(least(({Q.roll('var_samp', 'ir', 21, 'one')} / nullif(av, 0) - 1.0 / m) / (1 - 1.0 / m), 1), 0) rho from g where m > 1), rho as (select bar, rho from rh where rho is not null),
+rh as (select bar, greatest(least(({Q.roll('var_samp', 'ir', 21, 'one')} / nullif(av, 0) - 1.0 / m) / (1 - 1.0 / m), 1), 0) rho from g where m > 1), rho as (select bar, rho from rh where bar >= 20),
 qs as (select quantile_cont(rho, 0.33) lo, quantile_cont(rho, 0.67) hi from rho), reg as (select bar, rho, case when rho > hi + 1e-12 then 'HIGH' when rho < lo - 1e-12 then 'LOW' else 'MID' end regime from rho, qs)"""
 
 
