@@ -14,11 +14,11 @@ def both(df: DataFrame) -> DataFrame:
 
 
 def bin_of(p: Column, n_bins: int) -> Column:
-    """Bin of p among equal bins of [0, 1]: [lo, hi), the last one closed; null outside. Edges are the literals i / n_bins."""
-    out = F.when((p >= (n_bins - 1) / n_bins) & (p <= 1.0), F.lit(n_bins - 1))
-    for i in range(n_bins - 1):
-        out = out.when((p >= i / n_bins) & (p < (i + 1) / n_bins), F.lit(i))
-    return out
+    """Bin of p among equal bins of [0, 1]: [lo, hi), the last one closed; null outside. Edges are the doubles i / n_bins:
+    the product's bin is moved by one where rounding put it on the wrong side of an edge."""
+    k = F.floor(p * n_bins)
+    k = F.when(p < k / n_bins, k - 1).when(p >= (k + 1) / n_bins, k + 1).otherwise(k)
+    return F.when((p >= 0) & (p <= 1), F.least(k, F.lit(n_bins - 1)).cast("int"))
 
 
 def reliability(df: DataFrame, n_bins: int = 10) -> DataFrame:

@@ -69,8 +69,9 @@ def fill_missing(df: DataFrame, row_id: str, numeric: Sequence[str], categorical
     wanted = df.select(row_id, *keys, missing.alias("field"))
     names = F.array(*(F.lit(lv.name) for lv in levels))
     looked_up = wanted.select(row_id, "field", expanded.alias("g")).select(row_id, "field", "g.level", "g.key").join(table, ["field", "level", "key"], "left")
+    # element_at of a null position isn't null in Spark 4.1.2 but the last element, so the null case is stated
     best = looked_up.groupBy(row_id, "field").agg(F.min(F.when(F.col("n").isNotNull(), F.struct("level", "value", "n"))).alias("b"))
-    return best.select(row_id, "field", F.col("b.value").alias("filled"), F.element_at(names, F.col("b.level") + 1).alias("level"), F.col("b.n").alias("support"))
+    return best.select(row_id, "field", F.col("b.value").alias("filled"), F.when(F.col("b").isNotNull(), F.element_at(names, F.col("b.level") + 1)).alias("level"), F.col("b.n").alias("support"))
 
 
 #: From the ticker's own filings of the period, year and all time, then from the sector and the market of the same period, then from all.
