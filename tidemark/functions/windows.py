@@ -92,8 +92,8 @@ def latch(enter: Column, leave: Column, keys: Keys) -> Column:
 
 
 def fold_of(n: Column, folds: int, bar: Column | str = "bar") -> Column:
-    """Equal folds by bar; the last one takes the remainder."""
-    return F.least(F.floor(col(bar) / F.floor(n / folds)), F.lit(folds - 1)).cast("int")
+    """Equal folds by bar; the last one takes the remainder, so it takes all of less bars than folds."""
+    return F.coalesce(F.least(F.floor(F.try_divide(col(bar), F.floor(n / folds))), F.lit(folds - 1)), F.lit(folds - 1)).cast("int")
 
 
 def sign(c: Column) -> Column:
