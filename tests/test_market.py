@@ -224,3 +224,25 @@ def test_queries_equal_their_sql(spark, tiny, name):
     for x, y in zip(a, b):
         for u, v in zip(x, y):
             assert u == v or u == pytest.approx(float(v), rel=1e-6, abs=1e-6)
+
+
+@pytest.mark.parametrize("rule, back, ahead", [(strategies.trend, 100, 0), (strategies.reversal, 5, 0), (strategies.gap_fade, 1, 0), (strategies.peek, 0, 1), (strategies.centred, 10, 9)])
+def test_blockwise_equals_whole(spark, rule, back, ahead):
+    d = frame(spark, path(1000, 8)).unionByName(frame(spark, path(301, 9), "B"))
+    pick = lambda x: sorted((r.asset, r.bar, r.position) for r in x.collect())
+    assert pick(W.blockwise(rule, back, 128, ahead)(d, KEY)) == pick(rule(d, KEY))
+    with pytest.raises(ValueError):
+        W.blockwise(rule, 200, 128)
+
+
+def test_factor_backtest_holds_and_permutes(spark):
+    from tidemark.operators import panels
+
+    prices = frame(spark, path(60, 0), "a0")
+    for i in range(1, 8):
+        prices = prices.unionByName(frame(spark, path(60, i), f"a{i}"))
+    scores = spark.createDataFrame([(f"a{i}", b, float(i)) for b in (10, 30) for i in range(8)] + [("a0", 20, 1.0)] + [("a1", 40, float("nan"))], "asset string, bar int, score double")
+    w = panels.factor_backtest(prices.select("asset", "bar", "close"), scores).toPandas().pivot(index="bar", columns="asset", values="weight")
+    assert (w.loc[:9] == 0).all().all() and w.loc[25, "a7"] == 0.5 and w.loc[59, "a1"] == -0.5 and (w.sum(axis=1).abs() < 1e-12).all()
+    out = panels.fixed_weight_permutation(panels.factor_backtest(prices.select("asset", "bar", "close"), scores), 5).first()
+    assert out.n_perm == 5 and 1 / 6 <= out.p_value <= 1

@@ -101,3 +101,11 @@ def test_checkpoint_folder_is_kept(spark):
 
     assert cut(spark.range(3).select(F.col("id") * 2)).count() == 3
     assert spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+
+
+def test_assemble_filings(spark):
+    ratios = spark.createDataFrame([("A", "2020-03-31", "2020-05-01", "1.5", None, "2", "x", "0.4", "1"), ("A", "2020-06-30", None, None, "3", None, "0.1", None, None)], "ticker string, fiscal_date string, filing_date string, pe string, pb string, ps string, roe string, gross_margin string, debt_to_equity string")
+    metrics = spark.createDataFrame([("A", "2020-03-31", 1, "9", "8", "7", "0.5", "100"), ("A", "2020-03-31", 2, "9", "6", "7", "0.7", "200")], "ticker string, fiscal_date string, received int, pe string, pb string, ps string, roe string, market_cap string")
+    a, b = prices.assemble_filings(ratios, metrics).orderBy("date_filed").collect()
+    assert (str(a.date_filed), a.pe, a.pb, a.roe, a.market_cap) == ("2020-05-06", 1.5, 6.0, 0.7, 200.0)
+    assert (str(b.date_filed), b.pe, b.pb, b.market_cap) == ("2020-09-18", None, 3.0, None)

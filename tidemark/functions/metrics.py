@@ -63,3 +63,10 @@ def safe_corr(x: Column | str, y: Column | str) -> Column:
     x, y = F.when(both, x), F.when(both, y)
     sx, sy = F.stddev_pop(x), F.stddev_pop(y)
     return F.when((sx > 1e-15) & (sy > 1e-15), F.try_divide(F.covar_pop(x, y), sx * sy))
+
+
+def lag1_autocorr(x: Column | str, mean: Column | str, nxt: Column | str) -> Column:
+    """Sum of x_t x_t+1 over sum of x^2, both less the sample's mean; 0 for a constant. nxt is the following value."""
+    x, mean, nxt = _c(x), _c(mean), _c(nxt)
+    den = F.sum(F.pow(x - mean, 2))
+    return F.when(den <= 1e-12, 0.0).otherwise(F.try_divide(F.sum((x - mean) * (nxt - mean)), den))

@@ -135,3 +135,22 @@ def ewm_mean(df: DataFrame, keys: Keys, x: str, span: int, out: str, adjust: boo
         return df.withColumn(out, F.col("__s") * a / (1 - F.pow(F.lit(q), F.col("bar") + 1))).drop("__s")
     first = F.first(x).over(upto(keys))
     return df.withColumn(out, F.col("__s") * a + F.pow(F.lit(q), F.col("bar") + 1) * first).drop("__s")
+
+
+def blockwise(rule, lookback: int, block: int = 4096, ahead: int = 0):
+    """rule (df, keys) -> df as the same rule over blocks of `block` bars of each key.
+
+    For rules whose value at a bar depends on at most `lookback` bars before it and `ahead` after it, and not on bar's own
+    number. Each block takes the bars of its neighbours that it needs and drops them again, so a key with a third of all
+    bars becomes many tasks. The column bar must be 0, 1, 2, ... within a key.
+    """
+    if not 0 <= max(lookback, ahead) <= block:
+        raise ValueError("a block must hold the look-back")
+
+    def run(df: DataFrame, keys: Keys) -> DataFrame:
+        own, at = F.floor(F.col("bar") / block), F.col("bar") % block
+        homes = F.array_compact(F.array(own, F.when(at >= block - lookback, own + 1), F.when((at < ahead) & (own > 0), own - 1)))
+        out = rule(df.withColumn("__block", F.explode(homes)), [*keys, "__block"])
+        return out.where(F.floor(F.col("bar") / block) == F.col("__block")).drop("__block")
+
+    return run

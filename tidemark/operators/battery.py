@@ -125,3 +125,48 @@ def market_of(bars: DataFrame) -> DataFrame:
     """(bar, market_ret): the equal-weight mean return of all assets."""
     r = bars.withColumn("__r", bar_return("close", ["asset"]))
     return r.groupBy("bar").agg(F.avg("__r").alias("market_ret"))
+
+
+def grid_verdicts(bars: DataFrame, registry: dict[str, Strategy], keys: Keys, costs: Costs = Costs(), n_perm: int = 200, alpha: float = 0.05) -> DataFrame:
+    """(strategy, keys, pf, p_value, beta, raw_sig, corrected_sig) over strategies x assets; corrected_sig by Bonferroni over
+    all cells and only for rules that aren't beta. Prices are permuted once and every rule runs on the same permutations."""
+    k = [*keys, "perm_id"]
+    prices = S.permute_prices(bars, keys, n_perm)
+    days = bars.select(*keys, "bar", "day") if "day" in bars.columns else None
+    prices = prices.join(days, [*keys, "bar"]) if days is not None else prices
+    parts, betas, reals = [], [], []
+    for name, rule in registry.items():
+        tag = F.lit(name).alias("strategy")
+        parts.append(strategy_returns(rule(prices, k), k, costs).select(tag, *k, "net"))
+        reals.append(strategy_returns(rule(bars, keys), keys, costs).select(tag, *keys, "net"))
+        betas.append(regime_check(bars, keys, rule, costs).where("regime = 'UP'").select(tag, *keys, "beta"))
+
+    def union(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
+
+    cell = ["strategy", *keys]
+    real = union(reals).groupBy(*cell).agg(M.profit_factor("net").alias("pf"))
+    perm = union(parts).groupBy(*cell, "perm_id").agg(M.profit_factor("net").alias("score"))
+    out = perm.join(real, cell).groupBy(*cell).agg(F.first("pf").alias("pf"), M.p_value("pf", "score").alias("p_value")).join(union(betas), cell)
+    n = real.groupBy().agg(F.count(F.lit(1)).alias("cells")).withColumn("one", F.lit(1))
+    out = out.withColumn("one", F.lit(1)).join(F.broadcast(n), "one")  # one row
+    return out.select(*cell, "pf", "p_value", "beta", (F.col("p_value") < 0.01).alias("raw_sig"), ((F.col("p_value") < alpha / F.col("cells")) & ~F.col("beta")).alias("corrected_sig"))
+
+
+def panic_battery(labels: DataFrame, keys: Keys, crisis: int, ret: str = "ret", costs: Costs = Costs(), n_perm: int = 2000, least: int = 30) -> DataFrame:
+    """(keys, n, autocorr, p_value, ret_pct, pf, active, survives) of labels (keys, bar, ret, regime): does the return after
+    a crisis bar lean against it, does fading it pay, and does it survive a Bonferroni bar over all keys."""
+    from tidemark.operators.pnl import prelagged_returns
+    from tidemark.operators.regimes import crisis_fade
+
+    d = labels.withColumn("tomorrow", lag(ret, keys, -1)).where((F.col("regime") == crisis) & F.col("tomorrow").isNotNull())
+    ac = regime_autocorr(d.select(*keys, "bar", F.col(ret).alias("today"), "tomorrow"), keys, n_perm, least=least)
+    fade = prelagged_returns(crisis_fade(labels, keys, crisis, ret), keys, ret, costs)
+    fade = fade.groupBy(*keys).agg(M.total_return_pct("net").alias("ret_pct"), M.profit_factor("net").alias("pf"), F.sum((F.col("position") != 0).cast("int")).alias("active"))
+    out = ac.join(fade, list(keys)).withColumn("one", F.lit(1))
+    n = fade.groupBy().agg(F.count(F.lit(1)).alias("all")).withColumn("one", F.lit(1))
+    out = out.join(F.broadcast(n), "one")  # one row
+    return out.select(*keys, "n", "autocorr", "p_value", "ret_pct", "pf", "active", F.coalesce((F.col("autocorr") < 0) & (F.col("p_value") < 0.05 / F.col("all")), F.lit(False)).alias("survives"))

@@ -148,3 +148,32 @@ def factor_score(snapshot: DataFrame, date: list[str]) -> DataFrame:
 
     out = d.withColumns({"value": total("__pb", "__pe"), "quality": total("roe", "gross_margin"), "combo": total("__pb", "__pe", "roe", "gross_margin")})
     return out.drop(*(c for c in out.columns if c.startswith("__")))
+
+
+def month_ends(panel: DataFrame, date: str) -> DataFrame:
+    """(bar, month): the last bar of each calendar month; the last trading day, whatever the calendar's is."""
+    return panel.groupBy(F.trunc(date, "MM").alias("month")).agg(F.max("bar").alias("bar"))
+
+
+def factor_backtest(panel: DataFrame, scores: DataFrame, share: float = 0.2, least: int = 6, costs: Costs = Costs()) -> DataFrame:
+    """(asset, bar, ret, weight) of panel (asset, bar, close) rebalanced on the bars of scores (asset, bar, score): the best
+    and the worst share of the scored assets, at least 2 each, held until the next bar with `least` scores."""
+    date = Window.partitionBy("bar")
+    s = scores.where(M.finite("score").isNotNull()).withColumn("__n", F.count("score").over(date))
+    s = s.withColumns({"__k": F.greatest(F.lit(2), F.floor(share * F.col("__n")).cast("int")), "__b": F.row_number().over(date.orderBy(F.desc("score"), F.desc("asset"))), "__w": F.row_number().over(date.orderBy(F.asc("score"), F.asc("asset")))})
+    w = F.when(F.col("__b") <= F.col("__k"), 1.0 / F.col("__k")).when(F.col("__w") <= F.col("__k"), -1.0 / F.col("__k")).otherwise(0.0)
+    s = s.where(F.col("__n") >= least).select("asset", "bar", w.alias("__weight"))
+    due = s.select("bar").distinct().withColumn("__due", F.lit(True))
+    d = panel.withColumn("ret", bar_return("close", KEY)).join(s, ["asset", "bar"], "left").join(due, "bar", "left")
+    new = F.when(F.col("__due"), F.coalesce("__weight", F.lit(0.0)))  # an asset without a score leaves at a rebalance
+    return d.withColumn("weight", F.coalesce(hold(new, KEY), F.lit(0.0))).select("asset", "bar", "ret", "weight")
+
+
+def fixed_weight_permutation(weights: DataFrame, n_perm: int, costs: Costs = Costs(), seed: int = 42) -> DataFrame:
+    """(real, n_perm, p_value) of weights (asset, bar, ret, weight): each asset's returns shuffled, weights and turnover held."""
+    held = weights.withColumn("held", F.coalesce(lag("weight", KEY), F.lit(0.0))).withColumn("cost", F.abs(F.col("weight") - F.col("held")) * costs.per_turn)
+    real = portfolio_returns(weights, KEY, (), costs).agg(M.profit_factor("net").alias("real"), F.lit(1).alias("one"))
+    perm = shuffle_values(weights.where("ret is not null"), KEY, "ret", n_perm, seed).join(held.select("asset", "bar", "held", "cost"), ["asset", "bar"])
+    net = perm.groupBy("perm_id", "bar").agg(F.sum(F.col("held") * F.col("ret") - F.col("cost")).alias("net"))
+    scores = net.groupBy("perm_id").agg(M.profit_factor("net").alias("score"), F.lit(1).alias("one"))
+    return scores.join(real, "one").agg(F.first("real").alias("real"), F.count(F.lit(1)).alias("n_perm"), M.p_value("real", "score").alias("p_value"))

@@ -335,3 +335,76 @@ def covariances(spark, sf_dir):
 @query()
 def hrp(spark, sf_dir):
     return structure.hrp_weights(panel(spark, sf_dir))
+
+
+def brand_scores(spark, sf_dir):
+    """Month-end scores of the panel's assets: the mean quantity ordered in the month, known at its last week."""
+    from tidemark.sources.tables import table
+
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("day"), "l_quantity")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("asset"))
+    d = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).withColumn("week", F.date_sub("day", F.weekday("day")))
+    monthly = d.groupBy("asset", F.trunc("week", "MM").alias("month")).agg((F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("score"))
+    dates = weekly_panel(spark, sf_dir).select("week").distinct()
+    bars = panels.month_ends(panel(spark, sf_dir).join(with_week(spark, sf_dir, dates), "bar"), "week")
+    return monthly.join(bars, "month").select("asset", "bar", "score").join(panel(spark, sf_dir).select("asset", "bar"), ["asset", "bar"], "left_semi")
+
+
+def with_week(spark, sf_dir, dates):
+    """(bar, week) of build_panel's calendar."""
+    w = weekly_panel(spark, sf_dir).groupBy("week").agg(F.count_distinct("asset").alias("n"))
+    start = w.where("n >= 10").agg(F.min("week").alias("start"))
+    return w.join(F.broadcast(start), F.col("week") >= F.col("start")).select("week", (F.row_number().over(Window.orderBy("week")) - 1).alias("bar"))
+
+
+BACKTEST = f"""{FULL}, sm as (select p_brand asset, date_trunc('month', date_trunc('week', l_shipdate)) mon, cast(sum(cast(l_quantity as decimal(18,2))) as double) / count(*) score from lineitem join part on l_partkey = p_partkey group by 1, 2),
+me as (select date_trunc('month', wkd) mon, max(bar) bar from wk group by 1), s0 as (select asset, bar, score from sm join me using (mon) where asset in (select asset from fa)),
+s1 as (select *, count(*) over (partition by bar) n, row_number() over (partition by bar order by score desc, asset desc) b, row_number() over (partition by bar order by score, asset) w from s0), s2 as (select *, greatest(2, cast(floor(0.2 * n) as int)) k from s1 where n >= 6),
+j as (select p.asset, p.bar, {Q.ret('p.asset', 'p.close').replace('order by bar', 'order by p.bar')} ret, case when d.bar is not null then coalesce(case when b <= k then 1.0 / k when w <= k then -1.0 / k else 0 end, 0) end x from pnl0 p left join s2 on p.asset = s2.asset and p.bar = s2.bar left join (select distinct bar from s2) d on d.bar = p.bar),
+h as (select asset, bar, ret, coalesce({Q.held('x')}, 0) weight from j), g as (select bar, coalesce({Q.prev('weight')}, 0) * ret - abs(weight - coalesce({Q.prev('weight')}, 0)) * 0.0003 leg from h)"""
+
+
+@query(f"with {BACKTEST} select bar, round(sum(leg), 10) net from g group by bar")
+def factor_backtest(spark, sf_dir):
+    return rounded(pnl.portfolio_returns(panels.factor_backtest(panel(spark, sf_dir), brand_scores(spark, sf_dir)), KEY), 10)
+
+
+@query()
+def factor_permutation(spark, sf_dir):
+    return panels.fixed_weight_permutation(panels.factor_backtest(panel(spark, sf_dir), brand_scores(spark, sf_dir)), N_PERM)
+
+
+@query()
+def panic_battery(spark, sf_dir):
+    from tidemark.operators.battery import panic_battery as battery_of
+    from tidemark.session import cut
+
+    ret = returns(spark, sf_dir)
+    labels = cut(regimes.label(ret, regimes.fit_models(ret.where("bar > 0"), KEY, k=3, train=0.4), KEY))
+    return battery_of(labels, KEY, 2, n_perm=N_PERM)
+
+
+@query()
+def grid_verdicts(spark, sf_dir):
+    from tidemark.operators import battery, strategies
+
+    some = {n: strategies.REGISTRY[n] for n in ("reversal_5", "gap_fade", "trend_100")}
+    return battery.grid_verdicts(daily_bars(spark, sf_dir), some, KEY, n_perm=20)
+
+
+@query()
+def overnight_calm(spark, sf_dir):
+    """The overnight return on bars that are neither in the stormiest regime nor above the median volatility."""
+    d = daily_bars(spark, sf_dir).withColumn("ret", W.bar_return("close", KEY))
+    labels = regimes.label(d, regimes.fit_models(d.where("bar > 0"), KEY, k=3), KEY).select("asset", "bar", "regime")
+    d = d.withColumns({"sd": W.roll_std("ret", 20, KEY), "night": F.coalesce(F.try_divide("open", W.lag("close", KEY)) - 1, F.lit(0.0))}).join(labels, ["asset", "bar"])
+    med = d.groupBy("asset").agg(F.median("sd").alias("med"))
+    d = d.join(med, "asset").withColumn("calm", F.coalesce((F.col("regime") != 2) & (F.col("sd") <= F.col("med")), F.lit(False)))
+    net = F.when(F.col("calm"), F.col("night") - 1e-4).otherwise(0.0)
+    return d.groupBy("asset").agg(F.sum(F.col("calm").cast("int")).alias("calm_bars"), M.total_return_pct(net).alias("ret_pct"), M.sharpe(net).alias("sharpe"))
+
+
+@query(f"with {BARS}, r as (select asset, bar, {Q.ret()} x from bars), m as (select *, avg(x) over (partition by asset) mu, lead(x) over (partition by asset order by bar) nx from r) select asset, round(case when sum((x - mu) * (x - mu)) <= 1e-12 then 0 else sum((x - mu) * (nx - mu)) / sum((x - mu) * (x - mu)) end, 8) autocorr from m group by asset")
+def lag1_autocorr(spark, sf_dir):
+    d = returns(spark, sf_dir).withColumns({"mu": F.avg("ret").over(Window.partitionBy("asset")), "nx": W.lag("ret", KEY, -1)})
+    return rounded(d.groupBy("asset").agg(M.lag1_autocorr("ret", "mu", "nx").alias("autocorr")))

@@ -58,3 +58,20 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of rows with equal keys the last by order."""
     rest = [c for c in df.columns if c not in (*keys, order)]
     return df.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("r")).select(*keys, "r.*")
+
+
+def assemble_filings(ratios: DataFrame, metrics: DataFrame, lag_days: int = 5, fallback_days: int = 75) -> DataFrame:
+    """Filings from two reports of the same fiscal dates, (ticker, fiscal_date, ...) each; of repeated metrics rows the last
+    by `received` counts. Where a figure is missing in ratios, that of metrics is taken. A filing without date counts as
+    filed fallback_days after its fiscal date; every filing may be used lag_days later.
+
+    ratios: (ticker, fiscal_date, filing_date, pe, pb, ps, roe, gross_margin, debt_to_equity), metrics: (ticker, fiscal_date,
+    received, pe, pb, ps, roe, market_cap); figures are read as numbers, what is none becomes null.
+    """
+    m = latest(metrics, ["ticker", "fiscal_date"], "received")
+    m = m.select("ticker", "fiscal_date", *(F.col(c).alias(f"__{c}") for c in ("pe", "pb", "ps", "roe", "market_cap")))
+    d = ratios.join(m, ["ticker", "fiscal_date"], "left")
+    num = lambda c: F.col(c).try_cast("double")
+    filed = F.coalesce(F.to_date("filing_date"), F.date_add(F.to_date("fiscal_date"), fallback_days))
+    figures = [F.coalesce(num(c), num(f"__{c}")).alias(c) for c in ("pe", "pb", "ps", "roe")]
+    return d.select(F.date_add(filed, lag_days).alias("date_filed"), "ticker", *figures, num("gross_margin").alias("gross_margin"), num("debt_to_equity").alias("debt_to_equity"), num("__market_cap").alias("market_cap"))
