@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.prefix import running
 from tidemark.session import cut
 
-UNIT = 10**9  # copies are counted in whole billionths, so that sums are exact in any order
+UNIT = 10**6  # copies are counted in whole millionths: sums are exact in any order, and fit a bigint for 10^12 documents
 
 
 def plan_mix(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -31,16 +31,16 @@ def draw_mix(sizes: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     The documents of a source are laid in a row, by size class and then by a hash of doc_id, each as long as its expected
     copies; one random offset per source shifts the row, and a document is emitted once per integer boundary that it
     crosses. So copies differ from the expected number by less than 1, never exceed max_repeats, and size classes are
-    represented evenly. Documents of size 0 or of other sources are not drawn. The prefix sums run in blocks
+    represented evenly. Documents of size 0 or of other sources are not drawn; of
+    documents that share a doc_id, or have none, any may come first. The prefix sums run in blocks
     (functions.prefix), so a source with a third of all documents is many tasks.
     """
-    d = sizes.where("size > 0 and doc_id is not null").join(F.broadcast(plan.select("source", "expected")), "source")  # one row per target
+    d = sizes.where("size > 0").join(F.broadcast(plan.select("source", "expected")), "source")  # one row per target
     size_class = F.floor(F.log2(F.col("size")) * 4)
     d = d.withColumn("block", size_class * 64 + F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(64)))
     d = running(d, ["source"], "block", ["block", "doc_id"], {"upto": ("sum", F.col("expected"))})
-    shift = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(UNIT))
-    copies = F.floor((F.col("upto") + shift) / UNIT) - F.floor((F.col("upto") - F.col("expected") + shift) / UNIT)
-    # whole numbers of UNIT lie far below 2^53, so the quotients' floors are exact
+    d = d.withColumn("shift", F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(UNIT)))
+    copies = F.expr(f"(upto + shift) div {UNIT} - (upto - expected + shift) div {UNIT}")  # whole numbers throughout
     return d.select("doc_id", "source", "size", copies.cast("int").alias("copies")).where("copies > 0")
 
 
