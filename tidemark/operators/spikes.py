@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,11 +92,12 @@ def is_excursion(x: np.ndarray, m: float, rule: SpikeRule) -> np.ndarray:
     return out
 
 
-def scan_block(pdf: pd.DataFrame, rule: SpikeRule, halo: int) -> pd.DataFrame:
-    """One block of positive readings of one source with `halo` readings of its neighbours at either end."""
-    pdf = pdf.sort_values("k")
-    x, m = np.log(pdf["v"].to_numpy()), float(pdf["m"].iloc[0]) if pd.notna(pdf["m"].iloc[0]) else np.nan
-    if np.isnan(m):
+def scan_block(block: pa.Table, rule: SpikeRule) -> pa.Table:
+    """One block of positive readings of one source with some readings of its neighbours at either end; the found ones of
+    its own. Arrow in and out: keys never become Python objects."""
+    block = block.take(pa.array(np.argsort(block["k"].to_numpy())))
+    x, m = np.log(block["v"].to_numpy()), block["m"][0].as_py()
+    if m is None:
         flagged, vanished, z = np.zeros(len(x), bool), np.zeros(len(x), bool), np.zeros(len(x))
         spike = flagged
     else:
@@ -105,9 +106,11 @@ def scan_block(pdf: pd.DataFrame, rule: SpikeRule, halo: int) -> pd.DataFrame:
         for d in range(1, rule.width + 1):
             near[d:] |= flagged[:-d]
         spike = near & is_excursion(x, m, rule)
-    keep = (spike | vanished) & pdf["own"].to_numpy()
-    out = pdf.loc[keep, ["source", "field", "pos", "run"]]
-    return out.assign(spike=spike[keep], vanished=vanished[keep], z=z[keep])
+    keep = pa.array((spike | vanished) & block["own"].to_numpy())
+    out = block.select(["source", "field", "pos", "run"])
+    for name, values in (("spike", spike), ("vanished", vanished), ("z", z)):
+        out = out.append_column(name, pa.array(values))
+    return out.filter(keep)
 
 
 def find_implausible(readings: DataFrame, rule: SpikeRule = SpikeRule(), block: int = 4096) -> DataFrame:
@@ -141,7 +144,7 @@ def find_implausible(readings: DataFrame, rule: SpikeRule = SpikeRule(), block:
     homes = F.array_compact(F.array(kb, F.when(at < halo, kb - 1), F.when(at >= block - halo, kb + 1)))
     pos = r.where("v > 0").join(normal.select(*keys, "m"), keys).select(*keys, "pos", "run", "k", "v", "m", kb.alias("home"), F.explode(homes).alias("kb"))
     pos = pos.withColumn("own", F.col("home") == F.col("kb"))
-    found = pos.groupBy(*keys, "kb").applyInPandas(lambda pdf: scan_block(pdf, rule, halo), "source string, field string, pos bigint, run bigint, spike boolean, vanished boolean, z double")
+    found = pos.groupBy(*keys, "kb").applyInArrow(lambda table: scan_block(table, rule), "source string, field string, pos bigint, run bigint, spike boolean, vanished boolean, z double")
     found = cut(found)
 
     long_runs = r.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("len")).where(F.col("len") >= rule.stuck)
