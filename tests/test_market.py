@@ -246,3 +246,25 @@ def test_factor_backtest_holds_and_permutes(spark):
     assert (w.loc[:9] == 0).all().all() and w.loc[25, "a7"] == 0.5 and w.loc[59, "a1"] == -0.5 and (w.sum(axis=1).abs() < 1e-12).all()
     out = panels.fixed_weight_permutation(panels.factor_backtest(prices.select("asset", "bar", "close"), scores), 5).first()
     assert out.n_perm == 5 and 1 / 6 <= out.p_value <= 1
+
+
+def test_registered_counts_are_the_references(spark, tiny, monkeypatch):
+    from tidemark.operators import panels
+
+    seen, made = {}, spark.createDataFrame([("A", 1.0)], "asset string, pf double")
+    for module, name, at in ((battery, "mcpt", 5), (battery, "full_gauntlet", 4), (battery, "sign_flip", 2), (battery, "regime_autocorr", 2), (battery, "grid_verdicts", 4), (battery, "panic_battery", 5), (panels, "xs_permuted", 4), (panels, "fixed_weight_permutation", 1)):
+        monkeypatch.setattr(module, name, lambda *a, n_perm=None, name=name, at=at, **k: (seen.update({name: n_perm or a[at]}), made)[1])
+    monkeypatch.setattr("tidemark.session.cut", lambda d: d)
+    for name in ("mcpt", "full_gauntlet", "sign_flip", "regime_autocorr", "grid_verdicts", "panic_battery", "xs_permuted", "factor_permutation"):
+        {**market.QUERIES, **risk.QUERIES}[name](spark, tiny)
+    assert seen == {"mcpt": 1000, "full_gauntlet": 1000, "sign_flip": 1000, "regime_autocorr": 2000, "grid_verdicts": 200, "panic_battery": 2000, "xs_permuted": 300, "fixed_weight_permutation": 300}
+
+
+def test_sign_flip_at_the_full_count_equals_a_replay(spark, tiny):
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from '{tiny}/lineitem.parquet'")
+    want = c.execute(f"select asset, pf, n_perm, p_value from ({market.SQL['sign_flip'].replace('range(1, 51)', 'range(1, 1001)')}) order by 1").fetchall()
+    got = [tuple(r) for r in market.QUERIES["sign_flip"](spark, tiny).select("asset", "pf", "n_perm", "p_value").orderBy("asset").collect()]
+    assert len(got) == len(want) and all(r[2] == 1000 for r in got)
+    for x, y in zip(got, want):
+        assert x[1:] == pytest.approx(tuple(map(float, y[1:])), rel=1e-6)

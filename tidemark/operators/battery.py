@@ -103,7 +103,7 @@ def regime_autocorr(returns: DataFrame, keys: Keys, n_perm: int = 2000, seed: in
     """(keys, n, autocorr, p_value): correlation of today's with tomorrow's return over rows (keys, bar, today, tomorrow),
     two-sided against shuffles of tomorrow; null with less than `least` rows."""
     real = returns.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), M.safe_corr("today", "tomorrow").alias("autocorr"))
-    shuffled = S.shuffle_values(returns, keys, "tomorrow", n_perm, seed).join(returns.select(*keys, "bar", "today"), [*keys, "bar"])
+    shuffled = S.shuffle_values(returns, keys, "tomorrow", n_perm, seed, ("today",))
     perm = shuffled.groupBy(*keys, "perm_id").agg(M.safe_corr("today", "tomorrow").alias("score"))
     p = perm.join(real, list(keys)).groupBy(*keys).agg(M.p_value(F.abs("autocorr"), F.abs("score")).alias("p_value"))
     out = real.join(p, list(keys), "left")

@@ -173,7 +173,7 @@ def fixed_weight_permutation(weights: DataFrame, n_perm: int, costs: Costs = Cos
     """(real, n_perm, p_value) of weights (asset, bar, ret, weight): each asset's returns shuffled, weights and turnover held."""
     held = weights.withColumn("held", F.coalesce(lag("weight", KEY), F.lit(0.0))).withColumn("cost", F.abs(F.col("weight") - F.col("held")) * costs.per_turn)
     real = portfolio_returns(weights, KEY, (), costs).agg(M.profit_factor("net").alias("real"), F.lit(1).alias("one"))
-    perm = shuffle_values(weights.where("ret is not null"), KEY, "ret", n_perm, seed).join(held.select("asset", "bar", "held", "cost"), ["asset", "bar"])
+    perm = shuffle_values(held.where("ret is not null"), KEY, "ret", n_perm, seed, ("held", "cost"))
     net = perm.groupBy("perm_id", "bar").agg(F.sum(F.col("held") * F.col("ret") - F.col("cost")).alias("net"))
     scores = net.groupBy("perm_id").agg(M.profit_factor("net").alias("score"), F.lit(1).alias("one"))
     return scores.join(real, "one").agg(F.first("real").alias("real"), F.count(F.lit(1)).alias("n_perm"), M.p_value("real", "score").alias("p_value"))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.windows import Keys, fold_of, lag, over
 
 
+#: Replicates that one row explodes into at once.
+CHUNK = 25
+
+
 def with_length(df: DataFrame, keys: Keys) -> DataFrame:
     """df with n, the bars of each key, by a small aggregate joined back."""
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -45,8 +49,27 @@ def draw(*parts: Column) -> Column:
 
 
 def replicates(df: DataFrame, n: int) -> DataFrame:
-    """df n times, with perm_id 1..n; an explode, so the input is read once."""
-    return df.withColumn("perm_id", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    """df n times, with perm_id 1..n: exploded in two steps, spread over all tasks between them, since a small df is one task."""
+    few = df.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // CHUNK))))
+    ids = F.sequence(F.col("__chunk") * CHUNK + 1, F.least((F.col("__chunk") + 1) * CHUNK, F.lit(n)))
+    return few.repartition(tasks(df), "__chunk", "bar").withColumn("perm_id", F.explode(ids)).drop("__chunk")
+
+
+def tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def replicated_keys(df: DataFrame, keys: Keys, n: int) -> DataFrame:
+    """df, one row a key, n times with perm_id 1..n, partitioned by (keys, perm_id): what is exploded from a row's arrays
+    needs no further shuffle for windows and aggregates by (keys, perm_id)."""
+    reps = df.withColumn("perm_id", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    return reps.repartition(tasks(df), *keys, "perm_id")
+
+
+def drawn(rows: str, what: str, keys: Keys) -> Column:
+    """The array column rows, of structs with bar, in the order of the md5 of what, the keys, perm_id and bar."""
+    order = F.transform(rows, lambda x: F.struct(draw(F.lit(what), *(F.col(k) for k in keys), F.col("perm_id"), x["bar"]).alias("by"), x.alias("x")))
+    return F.transform(F.sort_array(order), lambda x: x["x"])
 
 
 def permute_prices(df: DataFrame, keys: Keys, n_perm: int, start: int = 0, seed: int = 42) -> DataFrame:
@@ -55,34 +78,35 @@ def permute_prices(df: DataFrame, keys: Keys, n_perm: int, start: int = 0, seed:
     In logs, a bar is a gap (open after the close before it) and a shape (high, low and close after its open). The gaps and
     the shapes of the bars after `start` are shuffled by two independent permutations and chained from the close at start;
     bars up to start stay. The sum of all gaps and shapes is kept, so the last close is as well. Keys with less than 3 bars
-    stay as they are. The permutations order rows by md5, so they can be replayed.
+    stay as they are. The permutations order rows by md5, so they can be replayed. A key's bars are one array: a permutation
+    sorts it and nothing but the arrays is shuffled.
     """
     keys = list(keys)
     logs = df.where("open > 0 and high > 0 and low > 0 and close > 0").select(*keys, "bar", *(F.ln(c).alias(c[0]) for c in ("open", "high", "low", "close")))
     logs = with_length(logs, keys).withColumn("prev", lag("c", keys))
-    tail = logs.where((F.col("bar") > start) & (F.col("n") >= 3))
-    anchor = logs.where(F.col("bar") == start).select(*keys, F.col("c").alias("anchor"))
-    reps = replicates(tail.select(*keys, "bar", (F.col("o") - F.col("prev")).alias("gap"), *((F.col(x) - F.col("o")).alias(f"d{x}") for x in "hlc")), n_perm)
-    w = Window.partitionBy(*keys, "perm_id")
-    name = [F.col(k) for k in keys]
-    order = lambda what: F.row_number().over(w.orderBy(draw(F.lit(f"{what}{seed}"), *name, F.col("perm_id"), F.col("bar"))))
-    gaps = reps.select(*keys, "perm_id", "gap", order("gap").alias("pos"))
-    shapes = reps.select(*keys, "perm_id", "dh", "dl", "dc", order("shape").alias("pos"))
-    chained = gaps.join(shapes, [*keys, "perm_id", "pos"]).join(anchor, keys)
-    path = F.col("anchor") + F.sum(F.col("gap") + F.col("dc")).over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    chained = chained.withColumn("c", path).withColumn("o", F.col("c") - F.col("dc"))
-    made = chained.select(*keys, "perm_id", (F.col("pos") + start).cast("int").alias("bar"), "o", (F.col("o") + F.col("dh")).alias("h"), (F.col("o") + F.col("dl")).alias("l"), "c")
-    head = replicates(logs.where((F.col("bar") <= start) | (F.col("n") < 3)).select(*keys, F.col("bar").cast("int").alias("bar"), "o", "h", "l", "c"), n_perm)
-    return made.unionByName(head).select(*keys, "perm_id", "bar", *(F.exp(x).alias(c) for x, c in zip("ohlc", ("open", "high", "low", "close"))))
-
-
-def shuffle_values(df: DataFrame, keys: Keys, value: str, n_perm: int, seed: int = 42) -> DataFrame:
-    """(keys, perm_id, bar, value): value shuffled within each key, n_perm times."""
-    reps = replicates(df.select(*keys, "bar", value), n_perm)
-    w = Window.partitionBy(*keys, "perm_id")
-    drawn = reps.select(*keys, "perm_id", value, F.row_number().over(w.orderBy(draw(F.lit(f"value{seed}"), *(F.col(k) for k in keys), F.col("perm_id"), F.col("bar")))).alias("pos"))
-    places = reps.select(*keys, "perm_id", "bar", F.row_number().over(w.orderBy("bar")).alias("pos"))
-    return places.join(drawn, [*keys, "perm_id", "pos"]).select(*keys, "perm_id", "bar", value)
+    moved = (F.col("bar") > start) & (F.col("n") >= 3)
+    tail = F.struct("bar", (F.col("o") - F.col("prev")).alias("gap"), *((F.col(x) - F.col("o")).alias(f"d{x}") for x in "hlc"))
+    head = F.struct(F.col("bar").cast("int").alias("bar"), *(F.col(x) for x in "ohlc"), *(F.lit(None).cast("double").alias(x) for x in ("gap", "dh", "dl", "dc")))
+    per = logs.groupBy(*keys).agg(F.collect_list(F.when(moved, tail)).alias("tail"), F.collect_list(F.when(~moved, head)).alias("head"), F.max(F.when(F.col("bar") == start, F.col("c"))).alias("anchor"))
+    reps = replicated_keys(per, keys, n_perm).withColumns({"gaps": drawn("tail", f"gap{seed}", keys), "shapes": drawn("tail", f"shape{seed}", keys)})
+    none = [F.lit(None).cast("double").alias(x) for x in "ohlc"]
+    pairs = F.zip_with("gaps", "shapes", lambda g, x: F.struct(g["gap"].alias("gap"), x["dh"].alias("dh"), x["dl"].alias("dl"), x["dc"].alias("dc")))
+    made = F.transform(pairs, lambda x, i: F.struct((i + 1 + start).cast("int").alias("bar"), *none, x["gap"].alias("gap"), x["dh"].alias("dh"), x["dl"].alias("dl"), x["dc"].alias("dc")))
+    rows = reps.select(*keys, "perm_id", "anchor", F.explode(F.concat("head", F.when(F.col("anchor").isNotNull(), made).otherwise(F.slice(made, 1, 0)))).alias("x")).select(*keys, "perm_id", "anchor", "x.*")
+    w = Window.partitionBy(*keys, "perm_id").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
+    path = F.col("anchor") + F.sum(F.col("gap") + F.col("dc")).over(w)
+    rows = rows.withColumn("c", F.coalesce("c", path)).withColumn("o", F.coalesce(F.col("o"), F.col("c") - F.col("dc")))
+    rows = rows.withColumns({"h": F.coalesce(F.col("h"), F.col("o") + F.col("dh")), "l": F.coalesce(F.col("l"), F.col("o") + F.col("dl"))})
+    return rows.select(*keys, "perm_id", "bar", *(F.exp(x).alias(c) for x, c in zip("ohlc", ("open", "high", "low", "close"))))
+
+
+def shuffle_values(df: DataFrame, keys: Keys, value: str, n_perm: int, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, perm_id, bar, value, keep): value shuffled within each key, n_perm times; the columns keep stay at their bars."""
+    keys = list(keys)
+    per = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bar", *dict.fromkeys([value, *keep])))).alias("rows"))
+    reps = replicated_keys(per, keys, n_perm)
+    pairs = F.zip_with("rows", drawn("rows", f"value{seed}", keys), lambda at, x: F.struct(at["bar"].alias("bar"), x[value].alias(value), *(at[c].alias(c) for c in keep)))
+    return reps.select(*keys, "perm_id", F.explode(pairs).alias("x")).select(*keys, "perm_id", "x.*")
 
 
 __all__ = ["with_length", "folds", "cut_points", "truncations", "draw", "replicates", "permute_prices", "shuffle_values", "over"]

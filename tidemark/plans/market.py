@@ -12,6 +12,9 @@ from tidemark.plans import sql as Q
 from tidemark.plans.inputs import BARS, HOURS, daily_bars, hourly_bars
 
 KEY = ["asset"]
+#: Permutations of the reference: of prices and signs, of the returns inside a regime, of panels and factor weights, of the grid.
+PRICE_PERM, REGIME_PERM, PANEL_PERM, GRID_PERM = 1000, 2000, 300, 200
+#: The comparison SQL replays only these first permutations.
 N_PERM = 50
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -224,13 +227,13 @@ rm as (select *, {Q.roll('avg', 'close', 20)} ma from bars), rp as (select *, {Q
 a as (select asset, max(re) re, avg(score) pm, quantile_cont(score, 0.95) p95, count(*) n, (1 + sum(case when score >= re - 1e-12 then 1 else 0 end)) / (1 + count(*)) pv from ps join rs using (asset) group by 1)
 select asset, round(re, 6) as "real", round(pm, 6) perm_mean, round(p95, 6) perm_p95, n n_perm, round(pv, 6) p_value, case when pv < 0.01 then 'REAL' when pv < 0.05 then 'SUSPECT' else 'NOISE' end verdict from a""")
 def mcpt(spark, sf_dir):
-    return rounded(battery.mcpt(daily_bars(spark, sf_dir), KEY, strategies.sma20, n_perm=N_PERM), 6)
+    return rounded(battery.mcpt(daily_bars(spark, sf_dir), KEY, strategies.sma20, n_perm=PRICE_PERM), 6)
 
 
 @query(f"""with {TREND}, reps as (select asset, bar, perm_id, case when substr(md5('sign42|' || asset || '|' || perm_id || '|' || bar), 1, 1) < '8' then net else -net end net from p, (select unnest(range(1, {N_PERM + 1})) perm_id)), ps as (select asset, perm_id, {Q.pf()} score from reps group by 1, 2), rs as (select asset, {Q.pf()} pf from p group by 1)
 select asset, round(max(pf), 6) pf, count(*) n_perm, round((1 + sum(case when score >= pf - 1e-12 then 1 else 0 end)) / (1 + count(*)), 6) p_value from ps join rs using (asset) group by asset""")
 def sign_flip(spark, sf_dir):
-    return rounded(battery.sign_flip(trend_net(spark, sf_dir), KEY, N_PERM), 6)
+    return rounded(battery.sign_flip(trend_net(spark, sf_dir), KEY, PRICE_PERM), 6)
 
 
 @query(f"""with {BARS}, rr as (select asset, bar, {Q.ret()} today from bars), t as (select asset, bar, today, lead(today) over (partition by asset order by bar) tomorrow from rr), v as (select * from t where tomorrow is not null and today < 0),
@@ -241,7 +244,7 @@ select asset, max(n) n, round(max(re), 6) autocorr, round((1 + sum(case when abs
 def regime_autocorr(spark, sf_dir):
     d = daily_bars(spark, sf_dir).withColumn("today", W.bar_return("close", KEY)).withColumn("tomorrow", W.lag("today", KEY, -1))
     v = d.where("tomorrow is not null and today < 0").select("asset", "bar", "today", "tomorrow")
-    return rounded(battery.regime_autocorr(v, KEY, N_PERM), 6)
+    return rounded(battery.regime_autocorr(v, KEY, REGIME_PERM), 6)
 
 
 GRID = ("macd_200_adjusted", "rsi_reversion", "donchian_50", "reversal_5", "gap_fade", "trend_100")
@@ -287,4 +290,4 @@ def ledger_assess(spark, sf_dir):
 
 @query()
 def full_gauntlet(spark, sf_dir):
-    return battery.full_gauntlet(daily_bars(spark, sf_dir), KEY, strategies.sma20, n_perm=N_PERM)
+    return battery.full_gauntlet(daily_bars(spark, sf_dir), KEY, strategies.sma20, n_perm=PRICE_PERM)

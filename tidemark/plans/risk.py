@@ -10,7 +10,7 @@ from tidemark.functions import windows as W
 from tidemark.operators import asof, calibration, features, logistic, panels, pnl, regimes, structure, volatility
 from tidemark.plans import sql as Q
 from tidemark.plans.inputs import BARS, FILED, FORECASTS, PANEL, daily_bars, forecasts, order_filings, weekly_panel
-from tidemark.plans.market import KEY, N_PERM, r, rounded
+from tidemark.plans.market import GRID_PERM, KEY, PANEL_PERM, REGIME_PERM, r, rounded
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -207,7 +207,7 @@ for _n, (_s, _o) in SCORES.items():
 
 @query()
 def xs_permuted(spark, sf_dir):
-    return panels.xs_permuted(panel(spark, sf_dir), "reversal", 4, 5, N_PERM)
+    return panels.xs_permuted(panel(spark, sf_dir), "reversal", 4, 5, PANEL_PERM)
 
 
 PAIRS = f"""{FULL}, nm as (select distinct asset from pnl0 order by asset limit 13), pr as (select asset, bar, close, {Q.ret()} ret from pnl0 where asset in (select asset from nm)),
@@ -371,7 +371,7 @@ def factor_backtest(spark, sf_dir):
 
 @query()
 def factor_permutation(spark, sf_dir):
-    return panels.fixed_weight_permutation(panels.factor_backtest(panel(spark, sf_dir), brand_scores(spark, sf_dir)), N_PERM)
+    return panels.fixed_weight_permutation(panels.factor_backtest(panel(spark, sf_dir), brand_scores(spark, sf_dir)), PANEL_PERM)
 
 
 @query()
@@ -381,7 +381,7 @@ def panic_battery(spark, sf_dir):
 
     ret = returns(spark, sf_dir)
     labels = cut(regimes.label(ret, regimes.fit_models(ret.where("bar > 0"), KEY, k=3, train=0.4), KEY))
-    return battery_of(labels, KEY, 2, n_perm=N_PERM)
+    return battery_of(labels, KEY, 2, n_perm=REGIME_PERM)
 
 
 @query()
@@ -389,7 +389,7 @@ def grid_verdicts(spark, sf_dir):
     from tidemark.operators import battery, strategies
 
     some = {n: strategies.REGISTRY[n] for n in ("reversal_5", "gap_fade", "trend_100")}
-    return battery.grid_verdicts(daily_bars(spark, sf_dir), some, KEY, n_perm=20)
+    return battery.grid_verdicts(daily_bars(spark, sf_dir), some, KEY, n_perm=GRID_PERM)
 
 
 @query()
