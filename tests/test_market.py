@@ -268,3 +268,32 @@ def test_sign_flip_at_the_full_count_equals_a_replay(spark, tiny):
     assert len(got) == len(want) and all(r[2] == 1000 for r in got)
     for x, y in zip(got, want):
         assert x[1:] == pytest.approx(tuple(map(float, y[1:])), rel=1e-6)
+
+
+def brands(spark, n, bars):
+    rows = [(f"a{i:02}", b, float(x)) for i in range(n) for b, x in enumerate(path(bars, 100 + i))]
+    return spark.createDataFrame(rows, "asset string, bar int, close double")
+
+
+def test_pairs_take_all_assets(spark):
+    from tidemark.operators import panels
+
+    p = brands(spark, 15, 60)
+    got = {(r.asset_a, r.asset_b) for r in panels.pairs_scan(p).collect()}
+    assert len(got) == 15 * 14 // 2 and ("a13", "a14") in got
+    assert {(r.asset_a, r.asset_b) for r in panels.pairs_scan(p, assets=["a02", "a14"]).collect()} == {("a02", "a14")}
+
+
+def test_pairs_verdicts_by_hand(spark):
+    from tidemark.operators import panels
+
+    rng = np.random.default_rng(5)
+    common, x = path(400, 3), np.zeros(400)
+    for i in range(1, 400):
+        x[i] = 0.5 * x[i - 1] + rng.normal(0, 0.03)  # a spread that reverts
+    rows = [(a, b, float(v)) for a, s in (("A", common), ("B", common * np.exp(x)), ("C", path(400, 9))) for b, v in enumerate(s)]
+    out = {(r.asset_a, r.asset_b): r for r in panels.pairs_verdicts(spark.createDataFrame(rows, "asset string, bar int, close double"), n_perm=99, least=5).collect()}
+    assert len(out) == 3 and all(r.corrected_bar == pytest.approx(0.05 / 3) and round(r.p_value * 100) >= 1 for r in out.values())
+    best = out["A", "B"]
+    assert best.p_value == pytest.approx(0.01) and best.recent_profitable == 3 and best.candidate
+    assert not any(r.candidate for r in panels.pairs_verdicts(brands(spark, 3, 60), n_perm=9, least=1).collect())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as M
 from tidemark.functions.windows import bar_return, change, fold_of, hold, lag, over, roll_std
+from tidemark.operators import battery
 from tidemark.operators.pnl import Costs, pair_returns, portfolio_returns
 from tidemark.operators.scenarios import shuffle_values, with_length
 from tidemark.operators.strategies import spread_reversion
@@ -80,14 +81,13 @@ def xs_permuted(panel: DataFrame, kind: str, lookback: int, k: int, n_perm: int,
     return scores.join(real, "one").agg(F.first("real").alias("real"), F.count(F.lit(1)).alias("n_perm"), M.p_value("real", "score").alias("p_value"))
 
 
-def pair_frames(panel: DataFrame, universe: int = 13) -> DataFrame:
+def pair_frames(panel: DataFrame, assets: list[str] | None = None) -> DataFrame:
     """(asset_a, asset_b, bar, spread, ret_a, ret_b) of all pairs of assets on their common bars.
 
-    Pairs are asked for: m assets have m (m - 1) / 2 pairs. The join is by bar; `universe` bounds the assets of a bar, the
-    first by name, since a scan of pairs is meant for a chosen list.
+    m assets have m (m - 1) / 2 pairs, of all assets of the panel or of the named ones. The join is by bar.
     """
-    names = panel.select("asset").distinct().orderBy("asset").limit(universe)
-    p = panel.join(names, "asset", "left_semi").withColumn("ret", bar_return("close", KEY)).select("asset", "bar", "close", "ret")
+    chosen = panel if assets is None else panel.where(F.col("asset").isin(list(assets)))
+    p = chosen.withColumn("ret", bar_return("close", KEY)).select("asset", "bar", "close", "ret")
     a, b = (p.select(F.col("asset").alias(f"asset_{x}"), "bar", F.col("close").alias(f"close_{x}"), F.col("ret").alias(f"ret_{x}")) for x in "ab")
     d = a.join(b, "bar").where("asset_a < asset_b and close_a > 0 and close_b > 0")
     k = ["asset_a", "asset_b"]
@@ -95,15 +95,33 @@ def pair_frames(panel: DataFrame, universe: int = 13) -> DataFrame:
     return d.withColumn("spread", ratio - F.avg(ratio).over(Window.partitionBy(*k))).select(*k, "bar", "spread", "ret_a", "ret_b")
 
 
-def pairs_scan(panel: DataFrame, costs: Costs = Costs(), n_folds: int = 6, recent: int = 3, universe: int = 13) -> DataFrame:
+def pairs_scan(panel: DataFrame, costs: Costs = Costs(), n_folds: int = 6, recent: int = 3, assets: list[str] | None = None) -> DataFrame:
     """(asset_a, asset_b, ret_pct, pf, recent_profitable) of the spread rule over all pairs, in one plan."""
     k = ["asset_a", "asset_b"]
-    net = pair_returns(spread_reversion(pair_frames(panel, universe), k), k, costs)
+    net = pair_returns(spread_reversion(pair_frames(panel, assets), k), k, costs)
     total = net.groupBy(*k).agg(M.total_return_pct("net").alias("ret_pct"), M.profit_factor("net").alias("pf"))
     folds = with_length(net, k).withColumn("fold", fold_of(F.col("n"), n_folds)).where(F.col("fold") >= n_folds - recent).groupBy(*k, "fold").agg(M.total_return_pct("net").alias("r"))
     return total.join(folds.groupBy(*k).agg(F.sum((F.col("r") > 0).cast("int")).alias("recent_profitable")), k)
 
 
+def pairs_verdicts(panel: DataFrame, costs: Costs = Costs(), n_perm: int = 300, n_folds: int = 6, recent: int = 3, least: int = 50, alpha: float = 0.05, seed: int = 42, assets: list[str] | None = None) -> DataFrame:
+    """(asset_a, asset_b, active, ret_pct, recent_profitable, recent_ret_pct, p_value, corrected_bar, candidate) of the pairs
+    with at least `least` bars in a position. p_value is the permutation test of the rule on the spread as a price; the bar is
+    alpha over the pairs tested; a candidate is under it and gained in each of the last folds."""
+    k = ["asset_a", "asset_b"]
+    frames = pair_frames(panel, assets)
+    net = pair_returns(spread_reversion(frames, k), k, costs)
+    total = net.groupBy(*k).agg(M.total_return_pct("net").alias("ret_pct"), F.sum((F.col("position") != 0).cast("int")).alias("active")).where(F.col("active") >= least)
+    numbered = frames.join(total.select(*k), k, "left_semi").withColumns({"bar": F.row_number().over(over(k)) - 1, "close": 100 * F.exp("spread")})
+    prices = numbered.select(*k, "bar", *(F.col("close").alias(c) for c in ("open", "high", "low", "close")))
+    test = battery.mcpt(prices, k, lambda d, keys: spread_reversion(d.withColumn("spread", F.ln("close")), keys), costs, n_perm, seed=seed)
+    out = total.join(battery.recent_consistency(net.select(*k, "bar", "net"), k, n_folds, recent), k).join(test.select(*k, "p_value"), k).withColumn("one", F.lit(1))
+    n = total.groupBy().agg(F.count(F.lit(1)).alias("tested")).withColumn("one", F.lit(1))
+    out = out.join(F.broadcast(n), "one").withColumn("corrected_bar", alpha / F.col("tested"))  # one row
+    live = (F.col("recent_profitable") == recent) & (F.col("recent_ret_pct") > 0)
+    return out.select(*k, "active", "ret_pct", "recent_profitable", "recent_ret_pct", "p_value", "corrected_bar", (live & (F.col("p_value") < F.col("corrected_bar"))).alias("candidate"))
+
+
 def dual_momentum(panel: DataFrame, risk: str, safe: str, lookback: int = 252, rebal: int = 21, costs: Costs = Costs()) -> DataFrame:
     """(bar, held, net): every rebal bars the risk asset if its trailing return is positive and at least the safe one's,
     else the safe asset; a switch costs one turn."""

@@ -233,6 +233,11 @@ def pairs_scan(spark, sf_dir):
     return d.select("asset_a", "asset_b", r("ret_pct", 4).alias("ret_pct"), r("pf", 6).alias("pf"), "recent_profitable")
 
 
+@query()
+def pairs_verdicts(spark, sf_dir):
+    return panels.pairs_verdicts(panel(spark, sf_dir), n_perm=PANEL_PERM)
+
+
 @query(f"""with {BARS}, x as (select asset, bar, {Q.ret()} ret, close / {Q.prev('close', 252)} - 1 past from bars where asset in ('AF', 'NO')), d as (select a.bar, a.ret ra, b.ret rb, a.past pa, b.past pb, 1 as one from x a join x b on a.bar = b.bar and a.asset = 'AF' and b.asset = 'NO'),
 e as (select *, case when bar % 21 = 0 and bar >= 252 then case when pa is not null and pb is not null and pa > 0 and pa >= pb then 'AF' when pa is not null and pb is not null then 'NO' end end pick from d), h as (select *, {Q.held('pick', 'one')} held from e), k as (select *, {Q.prev('held', 1, 'one')} ph from h)
 select bar, held, round(case when ph = 'AF' then ra when ph = 'NO' then rb else 0 end - case when ph is not null and held <> ph then 0.0003 else 0 end, 10) net from k""")
