@@ -297,3 +297,9 @@ def test_pairs_verdicts_by_hand(spark):
     best = out["A", "B"]
     assert best.p_value == pytest.approx(0.01) and best.recent_profitable == 3 and best.candidate
     assert not any(r.candidate for r in panels.pairs_verdicts(brands(spark, 3, 60), n_perm=9, least=1).collect())
+
+
+def test_pairs_pnl_has_all_pairs(spark, tiny, monkeypatch):
+    monkeypatch.setattr(risk, "panel", lambda spark, sf_dir: brands(spark, 15, 40))
+    got = risk.QUERIES["pairs_pnl"](spark, tiny).groupBy("asset_a", "asset_b").count().collect()
+    assert len(got) == 15 * 14 // 2 and {r["count"] for r in got} == {40}

@@ -222,8 +222,7 @@ def pairs_pnl(spark, sf_dir):
     from tidemark.operators.strategies import spread_reversion
 
     d = pnl.pair_returns(spread_reversion(panels.pair_frames(panel(spark, sf_dir)), k), k)
-    first = panel(spark, sf_dir).agg(F.min("asset").alias("asset_a"))
-    return d.join(F.broadcast(first), "asset_a").select(*k, "bar", r("spread").alias("spread"), "position", r("net", 10).alias("net"))
+    return d.select(*k, "bar", r("spread").alias("spread"), "position", r("net", 10).alias("net"))
 
 
 @query(f"""with {PAIRS}, t as (select asset_a, asset_b, {Q.total()} ret_pct, {Q.pf()} pf from pn group by 1, 2), f as (select asset_a, asset_b, least(bar // (n // 6), 5) fold, {Q.total()} r from pn group by 1, 2, 3), c as (select asset_a, asset_b, sum(case when r > 0 then 1 else 0 end) k from f where fold >= 3 group by 1, 2)
