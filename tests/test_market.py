@@ -303,3 +303,15 @@ def test_pairs_pnl_has_all_pairs(spark, tiny, monkeypatch):
     monkeypatch.setattr(risk, "panel", lambda spark, sf_dir: brands(spark, 15, 40))
     got = risk.QUERIES["pairs_pnl"](spark, tiny).groupBy("asset_a", "asset_b").count().collect()
     assert len(got) == 15 * 14 // 2 and {r["count"] for r in got} == {40}
+
+
+def test_grid_verdicts_ask_for_gate_and_audit(spark, tiny, monkeypatch):
+    d = frame(spark, path(400, 11, phi=-0.6))
+    out = {r.strategy: r for r in battery.grid_verdicts(d, {"reversal": lambda d, k: strategies.reversal(d, k, 1), "peek": strategies.peek}, KEY, n_perm=50).collect()}
+    good, leak = out["reversal"], out["peek"]
+    assert good.p_value == pytest.approx(1 / 51) and good.passed and good.clean and good.raw_sig and good.corrected_sig == (not good.beta)
+    assert leak.passed and not leak.clean and not leak.raw_sig and not leak.corrected_sig
+    seen = []
+    monkeypatch.setattr(battery, "grid_verdicts", lambda bars, registry, *a, **k: seen.extend(registry))
+    risk.QUERIES["grid_verdicts"](spark, tiny)
+    assert seen == list(strategies.REGISTRY) and len(seen) == 6

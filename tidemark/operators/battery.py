@@ -128,18 +128,22 @@ def market_of(bars: DataFrame) -> DataFrame:
 
 
 def grid_verdicts(bars: DataFrame, registry: dict[str, Strategy], keys: Keys, costs: Costs = Costs(), n_perm: int = 200, alpha: float = 0.05) -> DataFrame:
-    """(strategy, keys, pf, p_value, beta, raw_sig, corrected_sig) over strategies x assets; corrected_sig by Bonferroni over
-    all cells and only for rules that aren't beta. Prices are permuted once and every rule runs on the same permutations."""
+    """(strategy, keys, pf, p_value, beta, passed, clean, raw_sig, corrected_sig) over strategies x assets. raw_sig takes p under
+    alpha, the walk-forward gate passed and a clean look-ahead audit; corrected_sig p under alpha over all cells, both of these
+    and no beta. Every rule runs on the same permutations."""
     k = [*keys, "perm_id"]
     prices = S.permute_prices(bars, keys, n_perm)
     days = bars.select(*keys, "bar", "day") if "day" in bars.columns else None
     prices = prices.join(days, [*keys, "bar"]) if days is not None else prices
-    parts, betas, reals = [], [], []
+    parts, checks, reals = [], [], []
     for name, rule in registry.items():
         tag = F.lit(name).alias("strategy")
         parts.append(strategy_returns(rule(prices, k), k, costs).select(tag, *k, "net"))
         reals.append(strategy_returns(rule(bars, keys), keys, costs).select(tag, *keys, "net"))
-        betas.append(regime_check(bars, keys, rule, costs).where("regime = 'UP'").select(tag, *keys, "beta"))
+        beta = regime_check(bars, keys, rule, costs).where("regime = 'UP'").select(*keys, "beta")
+        passed = gate(walk_forward(bars, keys, rule, costs), keys).select(*keys, "passed")
+        clean = lookahead_audit(bars, keys, rule).select(*keys, "clean")
+        checks.append(beta.join(passed, list(keys), "left").join(clean, list(keys), "left").select(tag, *keys, "beta", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("passed", "clean"))))
 
     def union(frames: list[DataFrame]) -> DataFrame:
         out = frames[0]
@@ -150,10 +154,12 @@ def grid_verdicts(bars: DataFrame, registry: dict[str, Strategy], keys: Keys, co
     cell = ["strategy", *keys]
     real = union(reals).groupBy(*cell).agg(M.profit_factor("net").alias("pf"))
     perm = union(parts).groupBy(*cell, "perm_id").agg(M.profit_factor("net").alias("score"))
-    out = perm.join(real, cell).groupBy(*cell).agg(F.first("pf").alias("pf"), M.p_value("pf", "score").alias("p_value")).join(union(betas), cell)
+    out = perm.join(real, cell).groupBy(*cell).agg(F.first("pf").alias("pf"), M.p_value("pf", "score").alias("p_value")).join(union(checks), cell)
     n = real.groupBy().agg(F.count(F.lit(1)).alias("cells")).withColumn("one", F.lit(1))
     out = out.withColumn("one", F.lit(1)).join(F.broadcast(n), "one")  # one row
-    return out.select(*cell, "pf", "p_value", "beta", (F.col("p_value") < 0.01).alias("raw_sig"), ((F.col("p_value") < alpha / F.col("cells")) & ~F.col("beta")).alias("corrected_sig"))
+    holds = F.col("passed") & F.col("clean")
+    raw, corrected = (F.col("p_value") < alpha) & holds, (F.col("p_value") < alpha / F.col("cells")) & holds & ~F.col("beta")
+    return out.select(*cell, "pf", "p_value", "beta", "passed", "clean", raw.alias("raw_sig"), corrected.alias("corrected_sig"))
 
 
 def panic_battery(labels: DataFrame, keys: Keys, crisis: int, ret: str = "ret", costs: Costs = Costs(), n_perm: int = 2000, least: int = 30) -> DataFrame:

@@ -392,8 +392,7 @@ def panic_battery(spark, sf_dir):
 def grid_verdicts(spark, sf_dir):
     from tidemark.operators import battery, strategies
 
-    some = {n: strategies.REGISTRY[n] for n in ("reversal_5", "gap_fade", "trend_100")}
-    return battery.grid_verdicts(daily_bars(spark, sf_dir), some, KEY, n_perm=GRID_PERM)
+    return battery.grid_verdicts(daily_bars(spark, sf_dir), strategies.REGISTRY, KEY, n_perm=GRID_PERM)
 
 
 @query()
