@@ -315,3 +315,14 @@ def test_grid_verdicts_ask_for_gate_and_audit(spark, tiny, monkeypatch):
     monkeypatch.setattr(battery, "grid_verdicts", lambda bars, registry, *a, **k: seen.extend(registry))
     risk.QUERIES["grid_verdicts"](spark, tiny)
     assert seen == list(strategies.REGISTRY) and len(seen) == 6
+
+
+def test_garch_forecasts_every_due_bar(spark, tiny, monkeypatch):
+    x = np.random.default_rng(2).normal(0, 0.01, 650)
+    d = spark.createDataFrame([("A", b, float(v)) for b, v in enumerate(x)], "asset string, bar int, ret double")
+    monkeypatch.setattr(risk, "returns", lambda spark, sf_dir: d)
+    got = {r.bar: r.forecast for r in risk.QUERIES["garch"](spark, tiny).where("method = 'garch'").collect()}
+    assert sorted(got) == list(range(504, 630, 21))
+    for b, v in got.items():
+        assert v == pytest.approx(volatility.garch_variance(x[b - 504 : b]), rel=1e-9)
+    assert {r.method: r.n for r in risk.QUERIES["vol_eval_garch"](spark, tiny).collect()} == {"naive": 6, "ewma": 6, "garch": 6}

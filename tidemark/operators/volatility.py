@@ -61,8 +61,6 @@ def walk_forward_vol(df: DataFrame, keys: Keys, ret: str = "ret", train: int = 5
     ahead = over(keys).rowsBetween(0, target - 1)
     d = d.withColumns({"naive": naive_variance(keys, ret, target), "realized": F.when(F.count(ret).over(ahead) == target, F.var_pop(ret).over(ahead))})
     cols = [m for m in methods if m in ("naive", "ewma")]
-    if "garch" in methods:
-        d = d.withColumn("__past", F.collect_list(ret).over(over(keys).rowsBetween(-train, -1)))  # at most train values
     d = d.where((F.col("bar") >= train) & (F.pmod(F.col("bar") - train, F.lit(step)) == 0) & F.col("realized").isNotNull())
     if "garch" in methods:
 
@@ -70,7 +68,13 @@ def walk_forward_vol(df: DataFrame, keys: Keys, ret: str = "ret", train: int = 5
         def fit(past: pd.Series) -> pd.Series:
             return past.map(garch_variance)
 
-        d, cols = d.withColumn("garch", fit("__past")), [*cols, "garch"]
+        k = [*keys, "bar"]
+        # each return goes to the due bars that look back on it, at most train / step + 1; only these bars get a list
+        first = F.greatest(F.lit(0), F.floor((F.col("bar") - train) / step) + 1)
+        due = F.transform(F.sequence(first, F.floor((F.col("bar") - 1) / step) + 1), lambda i: (F.lit(train) + i * step).cast("int"))
+        past = df.where(F.col(ret).isNotNull()).select(*keys, F.col("bar").alias("__at"), F.col(ret).alias("__x"), F.explode(F.filter(due, lambda t: (t > F.col("bar")) & (t - train <= F.col("bar")))).alias("bar"))
+        past = past.join(d.select(*k), k, "left_semi").groupBy(*k).agg(F.transform(F.sort_array(F.collect_list(F.struct("__at", "__x"))), lambda x: x["__x"]).alias("__past"))
+        d, cols = d.join(past, k, "left").withColumn("garch", fit(F.coalesce("__past", F.array().cast("array<double>")))), [*cols, "garch"]
     one = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).alias("forecast")) for m in cols)))
     return d.select(*keys, "bar", one.alias("f"), "realized").select(*keys, "bar", "f.method", "f.forecast", "realized")
 

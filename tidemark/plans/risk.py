@@ -99,7 +99,13 @@ def vol_target_report(spark, sf_dir):
 
 @query()
 def garch(spark, sf_dir):
-    return volatility.walk_forward_vol(returns(spark, sf_dir), KEY, step=63, methods=("naive", "garch"))
+    return volatility.walk_forward_vol(returns(spark, sf_dir), KEY, methods=("naive", "garch"))
+
+
+@query()
+def vol_eval_garch(spark, sf_dir):
+    """The evaluation of all three methods; vol_eval has the two that SQL can state."""
+    return volatility.evaluate_vol(volatility.walk_forward_vol(returns(spark, sf_dir), KEY, methods=("naive", "ewma", "garch")), KEY)
 
 
 def models(spark, sf_dir, k=2, train=1.0):
