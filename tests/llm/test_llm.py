@@ -42,6 +42,12 @@ def test_top_n_hot_group(spark):
     assert got == {(r.g, r.id) for r in p.groupby("g").head(4).itertuples()}
 
 
+def test_top_n_copies_of_unequal_scores(spark):
+    rows = [("g", 1, 10.0), ("g", 1, 9.0), ("g", 2, 5.0), ("g", 3, 1.0)]
+    d = spark.createDataFrame(rows, "g string, id bigint, v double").coalesce(1)
+    assert [(r.id, r["rank"]) for r in topn.top_n(d, "g", "id", [F.col("v")], 2).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
 def test_certain_cuts():
     spaces, digits = tokens.certain_cuts([b"a", b" a", b"12", b"\xc2\xa0 ", b"x\n"])
     assert " " in spaces and "\n" not in spaces and digits

@@ -17,17 +17,18 @@ def top_n(df: DataFrame, group: str, item: str, score: Sequence[Column], n: int)
     item (same group and item) count once, with their best score. Rows with null group or item are left out; a group with
     fewer items keeps all. Empty input gives no rows.
 
-    Each input partition ranks its own rows per group; its n-th best distinct item is a lower bound of the group's n-th
-    best, whatever the other partitions hold. The greatest bound of each group is joined to the rows, rows below it are
-    dropped, and only survivors are ranked. The local ranks and the last one are group-limited before their shuffle
+    Each input partition keeps the rows of its n best scores per group. Of these rows, reduced to each item's best score, the
+    n-th best item is a lower bound of the group's n-th best, whatever else the group holds; with less than n items there is
+    no bound. It is joined to the rows, rows below it are dropped, and only survivors are ranked. The local ranks and the last one are group-limited before their shuffle
     (WindowGroupLimit), so a partition sends at most n items of a group; at the join AQE splits hot groups or broadcasts
     the bounds, after it measured their size.
     """
     key = F.struct(*(F.struct(c.isNotNull(), c) for c in score), -F.col(item))
     rows = df.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("i"), key.alias("s"))
-    local = rows.select("g", "s", F.spark_partition_id().alias("p"))
+    local = rows.select("g", "i", "s", F.spark_partition_id().alias("p"))
     local = local.withColumn("r", F.dense_rank().over(Window.partitionBy("g", "p").orderBy(F.desc("s")))).where(F.col("r") <= n)
-    bounds = local.where(F.col("r") == n).groupBy("g").agg(F.max("s").alias("bound"))
+    tops = local.groupBy("g", "i").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s"))))
+    bounds = tops.where(F.col("r") == n).select("g", F.col("s").alias("bound"))
     survivors = rows.join(bounds, "g", "left").where(F.col("bound").isNull() | (F.col("s") >= F.col("bound")))
     items = survivors.groupBy("g", "i").agg(F.max("s").alias("s"))
     rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s")))
