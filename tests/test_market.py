@@ -326,3 +326,10 @@ def test_garch_forecasts_every_due_bar(spark, tiny, monkeypatch):
     for b, v in got.items():
         assert v == pytest.approx(volatility.garch_variance(x[b - 504 : b]), rel=1e-9)
     assert {r.method: r.n for r in risk.QUERIES["vol_eval_garch"](spark, tiny).collect()} == {"naive": 6, "ewma": 6, "garch": 6}
+
+
+def test_long_spans_lose_no_weight(spark, monkeypatch):
+    monkeypatch.setattr(W, "BLOCK", 4)
+    c = path(1000, 6)
+    got = W.ewm_mean(W.ewm_mean(frame(spark, c), KEY, "close", 800, "e"), KEY, "close", 800, "a", adjust=True).toPandas().sort_values("bar")
+    assert np.allclose(got.e, pd.Series(c).ewm(span=800, adjust=False).mean(), rtol=1e-10) and np.allclose(got.a, pd.Series(c).ewm(span=800).mean(), rtol=1e-10)

@@ -107,8 +107,8 @@ def decay_sum(df: DataFrame, keys: Keys, x: str, alpha: float, out: str) -> Data
     """df with out = sum over i <= t of (1 - alpha)^(t - i) * x_i, by bar (0, 1, 2, ... without gaps, x not null).
 
     The recursion is scanned in blocks of BLOCK bars: within a block a window sum of x scaled by (1 - alpha)^-position
-    gives the local part, the carry comes from the ends of the blocks before. Blocks further back than double precision
-    sees are left out. No Python, and no task longer than a block of one key.
+    gives the local part, the carry comes from the ends of the blocks before: from those that double precision sees or, where
+    these are more than 64, from the same scan over the blocks. No Python, and no task longer than a block of one key.
     """
     q = 1.0 - alpha
     back = 1
@@ -120,7 +120,11 @@ def decay_sum(df: DataFrame, keys: Keys, x: str, alpha: float, out: str) -> Data
     local = F.sum(F.col(x) * F.pow(F.lit(q), -F.col("__at"))).over(Window.partitionBy(*keys, "__block").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(q), F.col("__at"))
     ends = df.groupBy(*keys, "__block").agg((F.sum(F.col(x) * F.pow(F.lit(q), -F.col("__at"))) * q ** (BLOCK - 1)).alias("__end"))
     w = Window.partitionBy(*keys).orderBy("__block")
-    carry = sum((F.coalesce(F.lag("__end", m).over(w), F.lit(0.0)) * q ** (BLOCK * (m - 1)) for m in range(2, back + 1)), F.coalesce(F.lag("__end", 1).over(w), F.lit(0.0)))
+    if q ** (BLOCK * back) > 1e-22:
+        ends = decay_sum(ends.withColumnRenamed("__block", "bar"), keys, "__end", 1.0 - q**BLOCK, "__sum").withColumnRenamed("bar", "__block")
+        carry = F.coalesce(F.lag("__sum", 1).over(w), F.lit(0.0))
+    else:
+        carry = sum((F.coalesce(F.lag("__end", m).over(w), F.lit(0.0)) * q ** (BLOCK * (m - 1)) for m in range(2, back + 1)), F.coalesce(F.lag("__end", 1).over(w), F.lit(0.0)))
     ends = ends.select(*keys, "__block", carry.alias("__carry"))
     whole = F.col("__local") + F.col("__carry") * F.pow(F.lit(q), F.col("__at") + 1)
     return df.withColumn("__local", local).join(ends, [*keys, "__block"]).withColumn(out, whole).drop("__block", "__at", "__local", "__carry")
