@@ -63,5 +63,6 @@ def hour_number(ts: Column | str) -> Column:
     return day_number(ts).cast("bigint") * 24 + F.hour(ts)
 
 
-def month_number(ts: Column | str) -> Column:
-    return F.year(ts) * 12 + F.month(ts)
+def second_number(ts: Column | str) -> Column:
+    """Seconds since 1970, never falling as ts rises, in any time zone and with or without one."""
+    return F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col(ts) if isinstance(ts, str) else ts)

@@ -13,6 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+ROWS_PER_BLOCK = 50_000
+
+
+def even_blocks(at: Column, low: int, high: int, rows: int) -> Column:
+    """The block of a place between low and high: as many blocks of equal width as `rows` fill with ROWS_PER_BLOCK each, so that
+    they get more, and not longer, as data grow."""
+    return F.floor((at - low) / ((high - low) // max(1, -(-rows // ROWS_PER_BLOCK)) + 1)).cast("bigint")
+
+
 def running(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], aggs: dict[str, tuple[str, Column]]) -> DataFrame:
     """df with one column more for each entry of aggs.
 
