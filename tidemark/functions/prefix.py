@@ -57,10 +57,12 @@ def running(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str]
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
-    """(keys, out): the exact median of value (nulls left out) of each group, halfway between the middle two if even.
+    """(keys, out): the exact median of value (nulls left out) of each group, halfway between the middle two if even. A null key
+    is a key of its own.
 
     No group is collected: equal values are counted first, counts of logarithmic bins find the one or two bins that hold
-    the middle ranks, and only the distinct values of these bins are ranked.
+    the middle ranks, and only the distinct values of these bins are ranked. The join takes null keys as equal, so that no
+    filter is inferred for one of its sides and both read the same counts from one shuffle.
     """
     v = F.col(value)
     size = F.when(v == 0, F.lit(-100_000)).otherwise(F.floor(F.ln(F.abs(v)) * 64).cast("int"))
@@ -81,6 +83,10 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med
     )
     inside = Window.partitionBy(*keys, "__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("__below") + F.sum("__n").over(inside)
-    ranked = counts.join(bins, [*keys, "__bin"]).select(*keys, v.alias("__v"), "__n", "__all", upto.alias("__upto"))
+    bins = bins.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__bin").alias("__b"), "__below", "__all")
+    alike = F.col("__bin").eqNullSafe(F.col("__b"))
+    for i, k in enumerate(keys):
+        alike = alike & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    ranked = counts.join(bins, alike).select(*keys, v.alias("__v"), "__n", "__all", upto.alias("__upto"))
     hit = lambda r: (F.col("__upto") - F.col("__n") <= r) & (r < F.col("__upto"))
     return ranked.groupBy(*keys).agg(((F.max(F.when(hit(low), F.col("__v"))) + F.max(F.when(hit(high), F.col("__v")))) / 2).alias(out))
