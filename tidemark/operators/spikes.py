@@ -24,7 +24,8 @@ class SpikeRule:
     threshold: standardised innovations from which the filter withholds an update; state and noise: standard deviations of
     a step and of a reading, in typical moves; vanish: root mean square of the last three innovations, in typical moves,
     under which their variance has vanished. threshold * (sqrt(state^2 + 2 noise^2) + noise) must stay under moves: then a
-    reading that leaves an accepted one by `moves` typical moves is always flagged.
+    reading that leaves an accepted one by `moves` typical moves is always flagged. stuck must be at least `settling`: then the
+    innovations' variance has vanished before a run of that length ends.
     """
 
     moves: float = 10.0
@@ -39,6 +40,20 @@ class SpikeRule:
     def __post_init__(self) -> None:
         if self.threshold * ((self.state**2 + 2 * self.noise**2) ** 0.5 + self.noise) >= self.moves:
             raise ValueError("the filter would overlook spikes of the given moves")
+        if self.stuck < self.settling:
+            raise ValueError(f"the filter would overlook runs of less than {self.settling} equal readings")
+
+    @property
+    def settling(self) -> int:
+        """Equal readings after which the variance has vanished at the latest: the first `width` may be withheld, the next is
+        taken with an innovation under the threshold, and each one after it leaves at most noise^2 / (state^2 + noise^2) of
+        the innovation before, until three in a row are small enough. A new level instead settles two readings later."""
+        q, r = self.state**2, self.noise**2
+        e = self.threshold * ((self.width + 1) * q + 2 * r) ** 0.5  # the forecast variance grew while updates were withheld
+        keep, n = r / (q + r), self.width + 3
+        while e * e * (1 + keep**2 + keep**4) > 3 * self.vanish**2:
+            e, n = e * keep, n + 1
+        return n
 
 
 def kalman_flags(x: np.ndarray, m: float, rule: SpikeRule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
