@@ -101,6 +101,19 @@ def test_known_at_by_brute_force(spark):
     assert asof.rebalances_with_pb(spark.createDataFrame(f, FUND), events.limit(0)).count() == 0
 
 
+def test_spike_rule_refuses_what_the_filter_overlooks():
+    assert spikes.SpikeRule().settling <= 8
+    for bad in (dict(stuck=5), dict(moves=3.0), dict(vanish=0.001), dict(width=5)):
+        with pytest.raises(ValueError):
+            spikes.SpikeRule(**bad)
+    rule, m = spikes.SpikeRule(), 0.01
+    rng = np.random.default_rng(2)
+    for _ in range(2000):  # the latest reading at which a run's variance vanishes, after any history
+        before = np.cumsum(rng.normal(0, m * rng.choice([0.2, 1, 5, 30]), 40))
+        x = np.concatenate([before, np.full(rule.stuck, before[-1] + m * rng.normal(0, rng.choice([0.1, 3, 12, 40])))])
+        assert spikes.kalman_flags(x, m, rule)[1][-rule.stuck :].any()
+
+
 def test_runs_by_brute_force(spark):
     rng = random.Random(9)
     rows = [(e, s, rng.choice([None, 1.0, 1.0, 2.0])) for e in ("a", "b", "c") for s in sorted(rng.sample(range(5000), 900))] + [("d", s, 7.0) for s in range(0, 32000, 3)] + [("e", 5, None), (None, 1, 1.0), ("f", None, 1.0)]
@@ -118,6 +131,35 @@ def test_runs_by_brute_force(spark):
     assert got == sorted(map(tuple, want), key=lambda x: x[:2])
 
 
+def brute_runs(rows):
+    out = []
+    for e in sorted({k for k, s, _ in rows if k is not None and s is not None}):
+        mine = sorted((s, v) for k, s, v in rows if k == e)
+        for i, (s, v) in enumerate(mine):
+            if i and mine[i - 1][1] == v:
+                out[-1][2] = s
+            else:
+                if i:
+                    out[-1][3] = s
+                out.append([e, s, s, None, v])
+    return sorted(map(tuple, out))
+
+
+def test_runs_over_any_slots(spark):
+    rng = random.Random(4)
+    wide = sorted(rng.sample(range(-(2**44), 2**44), 3000))
+    near = sorted(rng.sample(range(-4000, 4000), 2500))
+    rows = [("a", s, rng.choice("xxxy")) for s in wide] + [("b", s, rng.choice("xxxy")) for s in near] + [("c", s, "x") for s in range(65534, 65538)] + [("d", s, "x") for s in wide[::7]]
+    d = spark.createDataFrame(rows, "e string, s bigint, v string")
+    run = lambda d, **o: sorted((r.e, r.first_slot, r.last_slot, r.next_slot, r.v) for r in history.coalesce_runs(d, "e", "s", "v", **o).collect())
+    assert run(d) == brute_runs(rows)
+    assert run(d.where("e = 'c'"), slot_bits=20) == [("c", 65534, 65537, None, "x")]
+    for bad in (d.where("e = 'c'"), d.where("e = 'b'")):
+        with pytest.raises(Exception, match="slots must lie in"):
+            run(bad, slot_bits=16)
+    assert run(d.limit(0)) == []
+
+
 def test_roe_history(spark):
     d = lambda n: D(2010, 1, n)
     rows = [
