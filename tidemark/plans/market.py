@@ -14,8 +14,6 @@ from tidemark.plans.inputs import BARS, HOURS, daily_bars, hourly_bars
 KEY = ["asset"]
 #: Permutations of the reference: of prices and signs, of the returns inside a regime, of panels and factor weights, of the grid.
 PRICE_PERM, REGIME_PERM, PANEL_PERM, GRID_PERM = 1000, 2000, 300, 200
-#: The comparison SQL replays only these first permutations.
-N_PERM = 50
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -209,20 +207,25 @@ def lookahead_audit_of_a_leak(spark, sf_dir):
     return battery.lookahead_audit(daily_bars(spark, sf_dir), KEY, strategies.peek)
 
 
-PERM = f"""{BARS}, lg as (select asset, bar, ln(open) o, ln(high) h, ln(low) l, ln(close) c, {Q.prev('ln(close)')} pc from bars), reps as (select asset, bar, o - pc gap, h - o dh, l - o dl, c - o dc, perm_id from lg, (select unnest(range(1, {N_PERM + 1})) perm_id) where bar > 0),
+def ids(n: int) -> str:
+    return f"(select unnest(range(1, {n + 1})) perm_id)"
+
+
+def perm_sql(n: int) -> str:
+    return f"""{BARS}, lg as (select asset, bar, ln(open) o, ln(high) h, ln(low) l, ln(close) c, {Q.prev('ln(close)')} pc from bars), reps as (select asset, bar, o - pc gap, h - o dh, l - o dl, c - o dc, perm_id from lg, {ids(n)} where bar > 0),
 g as (select asset, perm_id, gap, row_number() over (partition by asset, perm_id order by md5('gap42|' || asset || '|' || perm_id || '|' || bar)) pos from reps),
 s as (select asset, perm_id, dh, dl, dc, row_number() over (partition by asset, perm_id order by md5('shape42|' || asset || '|' || perm_id || '|' || bar)) pos from reps),
 ch as (select asset, perm_id, pos, dh, dl, dc, a.c + sum(gap + dc) over (partition by asset, perm_id order by pos) c from g join s using (asset, perm_id, pos) join (select asset, c from lg where bar = 0) a using (asset)),
-perm as (select asset, perm_id, cast(pos as int) bar, exp(c - dc) as open, exp(c - dc + dh) high, exp(c - dc + dl) low, exp(c) as close from ch union all select asset, perm_id, 0, exp(o), exp(h), exp(l), exp(c) from lg, (select unnest(range(1, {N_PERM + 1})) perm_id) where bar = 0)"""
+perm as (select asset, perm_id, cast(pos as int) bar, exp(c - dc) as open, exp(c - dc + dh) high, exp(c - dc + dl) low, exp(c) as close from ch union all select asset, perm_id, 0, exp(o), exp(h), exp(l), exp(c) from lg, {ids(n)} where bar = 0)"""
 
 
-@query(f"with {PERM} select asset, perm_id, bar, {', '.join(f'round({c}, 3) as {c}' for c in ('open', 'high', 'low', 'close'))} from perm where perm_id <= 5")
+@query(f"with {perm_sql(5)} select asset, perm_id, bar, {', '.join(f'round({c}, 3) as {c}' for c in ('open', 'high', 'low', 'close'))} from perm")
 def permute_prices(spark, sf_dir):
     d = scenarios.permute_prices(daily_bars(spark, sf_dir), KEY, 5)
     return d.select("asset", F.col("perm_id").cast("bigint").alias("perm_id"), "bar", *(r(c, 3).alias(c) for c in ("open", "high", "low", "close")))
 
 
-@query(f"""with {PERM}, m as (select *, {Q.roll('avg', 'close', 20, 'asset, perm_id')} ma from perm), pos as (select *, {Q.one(Q.above('close', 'ma'))} position from m), pn as (select asset, perm_id, {Q.net('asset, perm_id')} net from pos), ps as (select asset, perm_id, {Q.pf()} score from pn group by 1, 2),
+@query(f"""with {perm_sql(PRICE_PERM)}, m as (select *, {Q.roll('avg', 'close', 20, 'asset, perm_id')} ma from perm), pos as (select *, {Q.one(Q.above('close', 'ma'))} position from m), pn as (select asset, perm_id, {Q.net('asset, perm_id')} net from pos), ps as (select asset, perm_id, {Q.pf()} score from pn group by 1, 2),
 rm as (select *, {Q.roll('avg', 'close', 20)} ma from bars), rp as (select *, {Q.one(Q.above('close', 'ma'))} position from rm), rn as (select asset, {Q.net()} net from rp), rs as (select asset, {Q.pf()} re from rn group by 1),
 a as (select asset, max(re) re, avg(score) pm, quantile_cont(score, 0.95) p95, count(*) n, (1 + sum(case when score >= re - 1e-12 then 1 else 0 end)) / (1 + count(*)) pv from ps join rs using (asset) group by 1)
 select asset, round(re, 6) as "real", round(pm, 6) perm_mean, round(p95, 6) perm_p95, n n_perm, round(pv, 6) p_value, case when pv < 0.01 then 'REAL' when pv < 0.05 then 'SUSPECT' else 'NOISE' end verdict from a""")
@@ -230,15 +233,15 @@ def mcpt(spark, sf_dir):
     return rounded(battery.mcpt(daily_bars(spark, sf_dir), KEY, strategies.sma20, n_perm=PRICE_PERM), 6)
 
 
-@query(f"""with {TREND}, reps as (select asset, bar, perm_id, case when substr(md5('sign42|' || asset || '|' || perm_id || '|' || bar), 1, 1) < '8' then net else -net end net from p, (select unnest(range(1, {N_PERM + 1})) perm_id)), ps as (select asset, perm_id, {Q.pf()} score from reps group by 1, 2), rs as (select asset, {Q.pf()} pf from p group by 1)
+@query(f"""with {TREND}, reps as (select asset, bar, perm_id, case when substr(md5('sign42|' || asset || '|' || perm_id || '|' || bar), 1, 1) < '8' then net else -net end net from p, {ids(PRICE_PERM)}), ps as (select asset, perm_id, {Q.pf()} score from reps group by 1, 2), rs as (select asset, {Q.pf()} pf from p group by 1)
 select asset, round(max(pf), 6) pf, count(*) n_perm, round((1 + sum(case when score >= pf - 1e-12 then 1 else 0 end)) / (1 + count(*)), 6) p_value from ps join rs using (asset) group by asset""")
 def sign_flip(spark, sf_dir):
     return rounded(battery.sign_flip(trend_net(spark, sf_dir), KEY, PRICE_PERM), 6)
 
 
 @query(f"""with {BARS}, rr as (select asset, bar, {Q.ret()} today from bars), t as (select asset, bar, today, lead(today) over (partition by asset order by bar) tomorrow from rr), v as (select * from t where tomorrow is not null and today < 0),
-pl as (select asset, perm_id, bar, today, row_number() over (partition by asset, perm_id order by bar) pos from v, (select unnest(range(1, {N_PERM + 1})) perm_id)),
-dr as (select asset, perm_id, tomorrow, row_number() over (partition by asset, perm_id order by md5('value0|' || asset || '|' || perm_id || '|' || bar)) pos from v, (select unnest(range(1, {N_PERM + 1})) perm_id)),
+pl as (select asset, perm_id, bar, today, row_number() over (partition by asset, perm_id order by bar) pos from v, {ids(REGIME_PERM)}),
+dr as (select asset, perm_id, tomorrow, row_number() over (partition by asset, perm_id order by md5('value0|' || asset || '|' || perm_id || '|' || bar)) pos from v, {ids(REGIME_PERM)}),
 ps as (select asset, perm_id, corr(today, tomorrow) score from pl join dr using (asset, perm_id, pos) group by 1, 2), rs as (select asset, count(*) n, corr(today, tomorrow) re from v group by 1)
 select asset, max(n) n, round(max(re), 6) autocorr, round((1 + sum(case when abs(score) >= abs(re) - 1e-12 then 1 else 0 end)) / (1 + count(*)), 6) p_value from ps join rs using (asset) group by asset""")
 def regime_autocorr(spark, sf_dir):
