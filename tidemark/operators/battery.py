@@ -10,6 +10,7 @@ from tidemark.functions.windows import Keys, above, bar_return, below, fold_of,
 from tidemark.operators import scenarios as S
 from tidemark.operators.pnl import Costs, strategy_returns
 from tidemark.operators.strategies import Strategy
+from tidemark.session import cut
 
 OBJECTIVES = {"pf": M.profit_factor, "sharpe": M.sharpe}
 
@@ -92,8 +93,8 @@ def mcpt(bars: DataFrame, keys: Keys, rule: Strategy, costs: Costs = Costs(), n_
 
 def sign_flip(net: DataFrame, keys: Keys, n_perm: int = 1000, seed: int = 42) -> DataFrame:
     """(keys, pf, n_perm, p_value): profit factor of a stream (keys, bar, net) against streams with random signs."""
-    reps = S.replicates(net.select(*keys, "bar", "net"), n_perm)
-    bit = F.substring(S.draw(F.lit(f"sign{seed}"), *(F.col(k) for k in keys), F.col("perm_id"), F.col("bar")), 1, 1) < "8"
+    reps = S.replicates(net.select(*keys, "bar", "net", S.salt(f"sign{seed}", keys).alias("__salt")), n_perm)
+    bit = S.draw(F.col("__salt"), F.col("perm_id"), F.col("bar")) < 2**31
     perm = reps.withColumn("net", F.when(bit, F.col("net")).otherwise(-F.col("net"))).groupBy(*keys, "perm_id").agg(M.profit_factor("net").alias("score"))
     real = net.groupBy(*keys).agg(M.profit_factor("net").alias("pf"))
     return perm.join(real, list(keys)).groupBy(*keys).agg(F.first("pf").alias("pf"), F.count(F.lit(1)).alias("n_perm"), M.p_value("pf", "score").alias("p_value"))
@@ -134,7 +135,7 @@ def grid_verdicts(bars: DataFrame, registry: dict[str, Strategy], keys: Keys, co
     k = [*keys, "perm_id"]
     prices = S.permute_prices(bars, keys, n_perm)
     days = bars.select(*keys, "bar", "day") if "day" in bars.columns else None
-    prices = prices.join(days, [*keys, "bar"]) if days is not None else prices
+    prices = cut(prices.join(days, [*keys, "bar"]) if days is not None else prices)  # every rule reads them
     parts, checks, reals = [], [], []
     for name, rule in registry.items():
         tag = F.lit(name).alias("strategy")

@@ -43,9 +43,27 @@ def truncations(df: DataFrame, keys: Keys, n_cuts: int = 12, warmup: int = 50) -
     return d.withColumn("cut", F.explode(F.filter("__cuts", lambda k: k > F.col("bar")))).drop("n", "__cuts")
 
 
-def draw(*parts: Column) -> Column:
-    """A pseudo-random text that any SQL engine reproduces: the md5 of the parts joined by '|'."""
-    return F.md5(F.concat_ws("|", *(p.cast("string") for p in parts)))
+def salt(what: str, keys: Keys) -> Column:
+    """A number below 2^32 for the keys and a purpose; once per key, not per row and permutation."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(what), *(F.col(k).cast("string") for k in keys))), 1, 8), 16, 10).cast("bigint")
+
+
+def first_mix(start: Column, perm_id: Column, bar: Column) -> Column:
+    return (bar.cast("bigint") * 2654435761 + perm_id.cast("bigint") * 2246822507 + start) % 2**32
+
+
+def fold(x: Column) -> Column:
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def mix(x: Column) -> Column:
+    return (fold(x) * 73244475) % 2**32
+
+
+def draw(start: Column, perm_id: Column, bar: Column) -> Column:
+    """A pseudo-random number below 2^32 that any SQL engine reproduces: a multiplicative mix in whole numbers below 2^63. For
+    one start and perm_id it differs for all bars, so that its order is a permutation without ties."""
+    return fold(mix(mix(first_mix(start, perm_id, bar))))
 
 
 def replicates(df: DataFrame, n: int) -> DataFrame:
@@ -61,15 +79,20 @@ def tasks(df: DataFrame) -> int:
 
 def replicated_keys(df: DataFrame, keys: Keys, n: int) -> DataFrame:
     """df, one row a key, n times with perm_id 1..n, partitioned by (keys, perm_id): what is exploded from a row's arrays
-    needs no further shuffle for windows and aggregates by (keys, perm_id)."""
-    reps = df.withColumn("perm_id", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    return reps.repartition(tasks(df), *keys, "perm_id")
+    needs no further shuffle for windows and aggregates by (keys, perm_id). Chunks of CHUNK permutations are spread first, as
+    few keys are one task."""
+    few = df.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // CHUNK)))).repartition(tasks(df), *keys, "__chunk")
+    ids = F.sequence(F.col("__chunk") * CHUNK + 1, F.least((F.col("__chunk") + 1) * CHUNK, F.lit(n)))
+    return few.withColumn("perm_id", F.explode(ids)).drop("__chunk").repartition(tasks(df), *keys, "perm_id")
 
 
-def drawn(rows: str, what: str, keys: Keys) -> Column:
-    """The array column rows, of structs with bar, in the order of the md5 of what, the keys, perm_id and bar."""
-    order = F.transform(rows, lambda x: F.struct(draw(F.lit(what), *(F.col(k) for k in keys), F.col("perm_id"), x["bar"]).alias("by"), x.alias("x")))
-    return F.transform(F.sort_array(order), lambda x: x["x"])
+def drawn(df: DataFrame, rows: str, start: str, out: str) -> DataFrame:
+    """df with out: the array column rows, of structs with bar, in the order of draw. Draw and place are packed into one number,
+    so that plain numbers are sorted; one step of the draw is one pass over the array, which evaluates no step twice."""
+    x = F.transform(F.col(rows)["bar"], lambda bar: first_mix(F.col(start), F.col("perm_id"), bar))
+    x = F.transform(F.transform(x, mix), mix)
+    packed = F.transform(x, lambda v, i: F.coalesce(F.shiftright(fold(v), 1) * 2**32 + i, F.lit(0)))
+    return df.withColumn(out, F.transform(F.sort_array(packed), lambda at: F.get(F.col(rows), (at % 2**32).cast("int"))))
 
 
 def permute_prices(df: DataFrame, keys: Keys, n_perm: int, start: int = 0, seed: int = 42) -> DataFrame:
@@ -78,8 +101,8 @@ def permute_prices(df: DataFrame, keys: Keys, n_perm: int, start: int = 0, seed:
     In logs, a bar is a gap (open after the close before it) and a shape (high, low and close after its open). The gaps and
     the shapes of the bars after `start` are shuffled by two independent permutations and chained from the close at start;
     bars up to start stay. The sum of all gaps and shapes is kept, so the last close is as well. Keys with less than 3 bars
-    stay as they are. The permutations order rows by md5, so they can be replayed. A key's bars are one array: a permutation
-    sorts it and nothing but the arrays is shuffled.
+    stay as they are. The permutations order rows by draw, so SQL can replay them. A key's bars are one array: a permutation
+    sorts numbers beside it and nothing but the arrays is shuffled.
     """
     keys = list(keys)
     logs = df.where("open > 0 and high > 0 and low > 0 and close > 0").select(*keys, "bar", *(F.ln(c).alias(c[0]) for c in ("open", "high", "low", "close")))
@@ -88,7 +111,8 @@ def permute_prices(df: DataFrame, keys: Keys, n_perm: int, start: int = 0, seed:
     tail = F.struct("bar", (F.col("o") - F.col("prev")).alias("gap"), *((F.col(x) - F.col("o")).alias(f"d{x}") for x in "hlc"))
     head = F.struct(F.col("bar").cast("int").alias("bar"), *(F.col(x) for x in "ohlc"), *(F.lit(None).cast("double").alias(x) for x in ("gap", "dh", "dl", "dc")))
     per = logs.groupBy(*keys).agg(F.collect_list(F.when(moved, tail)).alias("tail"), F.collect_list(F.when(~moved, head)).alias("head"), F.max(F.when(F.col("bar") == start, F.col("c"))).alias("anchor"))
-    reps = replicated_keys(per, keys, n_perm).withColumns({"gaps": drawn("tail", f"gap{seed}", keys), "shapes": drawn("tail", f"shape{seed}", keys)})
+    reps = replicated_keys(per.withColumns({"s1": salt(f"gap{seed}", keys), "s2": salt(f"shape{seed}", keys)}), keys, n_perm)
+    reps = drawn(drawn(reps, "tail", "s1", "gaps"), "tail", "s2", "shapes")
     none = [F.lit(None).cast("double").alias(x) for x in "ohlc"]
     pairs = F.zip_with("gaps", "shapes", lambda g, x: F.struct(g["gap"].alias("gap"), x["dh"].alias("dh"), x["dl"].alias("dl"), x["dc"].alias("dc")))
     made = F.transform(pairs, lambda x, i: F.struct((i + 1 + start).cast("int").alias("bar"), *none, x["gap"].alias("gap"), x["dh"].alias("dh"), x["dl"].alias("dl"), x["dc"].alias("dc")))
@@ -104,8 +128,8 @@ def shuffle_values(df: DataFrame, keys: Keys, value: str, n_perm: int, seed: int
     """(keys, perm_id, bar, value, keep): value shuffled within each key, n_perm times; the columns keep stay at their bars."""
     keys = list(keys)
     per = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bar", *dict.fromkeys([value, *keep])))).alias("rows"))
-    reps = replicated_keys(per, keys, n_perm)
-    pairs = F.zip_with("rows", drawn("rows", f"value{seed}", keys), lambda at, x: F.struct(at["bar"].alias("bar"), x[value].alias(value), *(at[c].alias(c) for c in keep)))
+    reps = drawn(replicated_keys(per.withColumn("s1", salt(f"value{seed}", keys)), keys, n_perm), "rows", "s1", "drawn")
+    pairs = F.zip_with("rows", "drawn", lambda at, x: F.struct(at["bar"].alias("bar"), x[value].alias(value), *(at[c].alias(c) for c in keep)))
     return reps.select(*keys, "perm_id", F.explode(pairs).alias("x")).select(*keys, "perm_id", "x.*")
 
 

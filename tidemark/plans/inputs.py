@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
 from tidemark.sources.tables import table
 
 
@@ -17,6 +18,11 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("bar", F.row_number().over(Window.partitionBy("asset").orderBy("day")) - 1)
 
 
+def bars_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """daily_bars, derived once: for plans that read the bars in several branches."""
+    return cut(daily_bars(spark, sf_dir))
+
+
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(asset, bar, open, high, low, close) of event values per type and hour."""
     d = table(spark, sf_dir, "events").where("value is not null").select(F.col("event_type").alias("asset"), F.date_trunc("hour", "ts").alias("hour"), "ts", "value")

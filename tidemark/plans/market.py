@@ -9,7 +9,7 @@ from tidemark.functions import metrics as M
 from tidemark.functions import windows as W
 from tidemark.operators import battery, features, ledger, pnl, scenarios, strategies
 from tidemark.plans import sql as Q
-from tidemark.plans.inputs import BARS, HOURS, daily_bars, hourly_bars
+from tidemark.plans.inputs import BARS, HOURS, bars_once, daily_bars, hourly_bars
 
 KEY = ["asset"]
 #: Permutations of the reference: of prices and signs, of the returns inside a regime, of panels and factor weights, of the grid.
@@ -159,12 +159,12 @@ folds as (select asset, cast(fold as int) fold, {Q.total()} ret_pct, {Q.pf()} pf
 
 @query(f"with {FOLDS} select asset, fold, round(ret_pct, 4) ret_pct, round(pf, 6) pf from folds")
 def walk_forward(spark, sf_dir):
-    return battery.walk_forward(daily_bars(spark, sf_dir), KEY, strategies.trend).select("asset", "fold", r("ret_pct", 4).alias("ret_pct"), r("pf", 6).alias("pf"))
+    return battery.walk_forward(bars_once(spark, sf_dir), KEY, strategies.trend).select("asset", "fold", r("ret_pct", 4).alias("ret_pct"), r("pf", 6).alias("pf"))
 
 
 @query(f"with {FOLDS} select asset, count(*) folds, sum(case when ret_pct > 0 then 1 else 0 end) profitable, sum(case when ret_pct > 0 then 1 else 0 end) >= 0.6 * count(*) - 1e-12 passed from folds group by asset")
 def walk_forward_gate(spark, sf_dir):
-    return battery.gate(battery.walk_forward(daily_bars(spark, sf_dir), KEY, strategies.trend), KEY)
+    return battery.gate(battery.walk_forward(bars_once(spark, sf_dir), KEY, strategies.trend), KEY)
 
 
 @query(f"with {TREND}, g as (select *, least(bar // (count(*) over (partition by asset) // 6), 5) fold from p), h as (select asset, fold, {Q.total()} r, sum(ln(1 + greatest(net, -0.999999))) lg from g group by 1, 2) select asset, sum(case when r > 0 then 1 else 0 end) recent_profitable, round((exp(sum(lg)) - 1) * 100, 4) recent_ret_pct from h where fold >= 3 group by asset")
@@ -179,7 +179,7 @@ a as (select asset, regime, count(*) n, avg(net) * 1e4 b, {Q.pf()} pf from g gro
 o as (select asset, regime, coalesce(n, 0) n, coalesce(b, 0) b, coalesce(pf, 1.0) pf from l left join a using (asset, regime))
 select asset, regime, n, round(b, 6) mean_bps, round(pf, 6) pf, max(case when regime = 'UP' then b end) over (partition by asset) > 0 and max(case when regime = 'DOWN' then b end) over (partition by asset) <= 0 beta from o""")
 def regime_check(spark, sf_dir):
-    d = battery.regime_check(daily_bars(spark, sf_dir), KEY, strategies.trend)
+    d = battery.regime_check(bars_once(spark, sf_dir), KEY, strategies.trend)
     return d.select("asset", "regime", "n", r("mean_bps", 6).alias("mean_bps"), r("pf", 6).alias("pf"), "beta")
 
 
@@ -199,12 +199,12 @@ from p join f on p.asset = f.asset and p.bar = f.bar where p.bar = p.cut - 1 gro
 
 @query(audit_sql(Q.one(Q.above("close", Q.roll("avg", "close", 20))), Q.one(Q.above("close", Q.roll("avg", "close", 20, "asset, cut")))))
 def lookahead_audit(spark, sf_dir):
-    return battery.lookahead_audit(daily_bars(spark, sf_dir), KEY, strategies.sma20)
+    return battery.lookahead_audit(bars_once(spark, sf_dir), KEY, strategies.sma20)
 
 
 @query(audit_sql(Q.one(Q.above("lead(close) over (partition by asset order by bar)", "close")), Q.one(Q.above("lead(close) over (partition by asset, cut order by bar)", "close"))))
 def lookahead_audit_of_a_leak(spark, sf_dir):
-    return battery.lookahead_audit(daily_bars(spark, sf_dir), KEY, strategies.peek)
+    return battery.lookahead_audit(bars_once(spark, sf_dir), KEY, strategies.peek)
 
 
 def ids(n: int) -> str:
@@ -213,8 +213,8 @@ def ids(n: int) -> str:
 
 def perm_sql(n: int) -> str:
     return f"""{BARS}, lg as (select asset, bar, ln(open) o, ln(high) h, ln(low) l, ln(close) c, {Q.prev('ln(close)')} pc from bars), reps as (select asset, bar, o - pc gap, h - o dh, l - o dl, c - o dc, perm_id from lg, {ids(n)} where bar > 0),
-g as (select asset, perm_id, gap, row_number() over (partition by asset, perm_id order by md5('gap42|' || asset || '|' || perm_id || '|' || bar)) pos from reps),
-s as (select asset, perm_id, dh, dl, dc, row_number() over (partition by asset, perm_id order by md5('shape42|' || asset || '|' || perm_id || '|' || bar)) pos from reps),
+g as (select asset, perm_id, gap, row_number() over (partition by asset, perm_id order by {Q.draw('gap42', 'asset')}) pos from reps),
+s as (select asset, perm_id, dh, dl, dc, row_number() over (partition by asset, perm_id order by {Q.draw('shape42', 'asset')}) pos from reps),
 ch as (select asset, perm_id, pos, dh, dl, dc, a.c + sum(gap + dc) over (partition by asset, perm_id order by pos) c from g join s using (asset, perm_id, pos) join (select asset, c from lg where bar = 0) a using (asset)),
 perm as (select asset, perm_id, cast(pos as int) bar, exp(c - dc) as open, exp(c - dc + dh) high, exp(c - dc + dl) low, exp(c) as close from ch union all select asset, perm_id, 0, exp(o), exp(h), exp(l), exp(c) from lg, {ids(n)} where bar = 0)"""
 
@@ -230,10 +230,10 @@ rm as (select *, {Q.roll('avg', 'close', 20)} ma from bars), rp as (select *, {Q
 a as (select asset, max(re) re, avg(score) pm, quantile_cont(score, 0.95) p95, count(*) n, (1 + sum(case when score >= re - 1e-12 then 1 else 0 end)) / (1 + count(*)) pv from ps join rs using (asset) group by 1)
 select asset, round(re, 6) as "real", round(pm, 6) perm_mean, round(p95, 6) perm_p95, n n_perm, round(pv, 6) p_value, case when pv < 0.01 then 'REAL' when pv < 0.05 then 'SUSPECT' else 'NOISE' end verdict from a""")
 def mcpt(spark, sf_dir):
-    return rounded(battery.mcpt(daily_bars(spark, sf_dir), KEY, strategies.sma20, n_perm=PRICE_PERM), 6)
+    return rounded(battery.mcpt(bars_once(spark, sf_dir), KEY, strategies.sma20, n_perm=PRICE_PERM), 6)
 
 
-@query(f"""with {TREND}, reps as (select asset, bar, perm_id, case when substr(md5('sign42|' || asset || '|' || perm_id || '|' || bar), 1, 1) < '8' then net else -net end net from p, {ids(PRICE_PERM)}), ps as (select asset, perm_id, {Q.pf()} score from reps group by 1, 2), rs as (select asset, {Q.pf()} pf from p group by 1)
+@query(f"""with {TREND}, reps as (select asset, bar, perm_id, case when {Q.draw('sign42', 'asset')} < 2147483648 then net else -net end net from p, {ids(PRICE_PERM)}), ps as (select asset, perm_id, {Q.pf()} score from reps group by 1, 2), rs as (select asset, {Q.pf()} pf from p group by 1)
 select asset, round(max(pf), 6) pf, count(*) n_perm, round((1 + sum(case when score >= pf - 1e-12 then 1 else 0 end)) / (1 + count(*)), 6) p_value from ps join rs using (asset) group by asset""")
 def sign_flip(spark, sf_dir):
     return rounded(battery.sign_flip(trend_net(spark, sf_dir), KEY, PRICE_PERM), 6)
@@ -241,7 +241,7 @@ def sign_flip(spark, sf_dir):
 
 @query(f"""with {BARS}, rr as (select asset, bar, {Q.ret()} today from bars), t as (select asset, bar, today, lead(today) over (partition by asset order by bar) tomorrow from rr), v as (select * from t where tomorrow is not null and today < 0),
 pl as (select asset, perm_id, bar, today, row_number() over (partition by asset, perm_id order by bar) pos from v, {ids(REGIME_PERM)}),
-dr as (select asset, perm_id, tomorrow, row_number() over (partition by asset, perm_id order by md5('value0|' || asset || '|' || perm_id || '|' || bar)) pos from v, {ids(REGIME_PERM)}),
+dr as (select asset, perm_id, tomorrow, row_number() over (partition by asset, perm_id order by {Q.draw('value0', 'asset')}) pos from v, {ids(REGIME_PERM)}),
 ps as (select asset, perm_id, corr(today, tomorrow) score from pl join dr using (asset, perm_id, pos) group by 1, 2), rs as (select asset, count(*) n, corr(today, tomorrow) re from v group by 1)
 select asset, max(n) n, round(max(re), 6) autocorr, round((1 + sum(case when abs(score) >= abs(re) - 1e-12 then 1 else 0 end)) / (1 + count(*)), 6) p_value from ps join rs using (asset) group by asset""")
 def regime_autocorr(spark, sf_dir):
@@ -261,7 +261,7 @@ def _grid_sql() -> str:
 
 @query(_grid_sql())
 def strategy_grid(spark, sf_dir):
-    g = pnl.strategy_returns(strategies.grid(daily_bars(spark, sf_dir)), ["strategy", "asset"])
+    g = pnl.strategy_returns(strategies.grid(bars_once(spark, sf_dir)), ["strategy", "asset"])
     return g.groupBy("strategy", "asset").agg(r(M.total_return_pct("net"), 4).alias("ret_pct"), r(M.profit_factor("net"), 6).alias("pf"))
 
 
@@ -293,4 +293,4 @@ def ledger_assess(spark, sf_dir):
 
 @query()
 def full_gauntlet(spark, sf_dir):
-    return battery.full_gauntlet(daily_bars(spark, sf_dir), KEY, strategies.sma20, n_perm=PRICE_PERM)
+    return battery.full_gauntlet(bars_once(spark, sf_dir), KEY, strategies.sma20, n_perm=PRICE_PERM)

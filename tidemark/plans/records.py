@@ -59,7 +59,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regrid.regular_closes(table(spark, sf_dir, "crypto_data"), table(spark, sf_dir, "etf_data")).withColumn("close", F.round("close", 6))
+    return regrid.regular_closes(table(spark, sf_dir, "crypto_data"), table(spark, sf_dir, "etf_data")).withColumn("close", F.round("close", 9))
 
 
 def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ FILL = """(select *, last_value(c ignore nulls) over up c0, last_value(i_c ignor
 STATUS = "case when c is not null then 'observed' when w1 - w0 - 1 <= 3 then 'interpolated' else 'missing' end"
 #: Weekdays between the observed days, where the right one may lie on a weekend, which counts like the Monday after it.
 GAP = "(case when isodow(date '1970-01-01' + cast(i1 as int)) > 5 then w1 + 1 else w1 end) - w0"
-VALUE = "round(case when c is not null then c when w1 - w0 - 1 <= 3 then c0 + (c1 - c0) * ((i - i0) / (i1 - i0)) end, 6)"
+VALUE = "round(case when c is not null then c when w1 - w0 - 1 <= 3 then c0 + (c1 - c0) * ((i - i0) / (i1 - i0)) end, 9)"
 
 SQL = {
     "p2_found": f"""with {FILINGS}, g as (select f.filing_id, f.ticker,

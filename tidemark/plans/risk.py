@@ -9,8 +9,9 @@ from tidemark.functions import metrics as M
 from tidemark.functions import windows as W
 from tidemark.operators import asof, calibration, features, logistic, panels, pnl, regimes, structure, volatility
 from tidemark.plans import sql as Q
-from tidemark.plans.inputs import BARS, FILED, FORECASTS, PANEL, daily_bars, forecasts, order_filings, weekly_panel
+from tidemark.plans.inputs import BARS, FILED, FORECASTS, PANEL, bars_once, daily_bars, forecasts, order_filings, weekly_panel
 from tidemark.plans.market import GRID_PERM, KEY, PANEL_PERM, REGIME_PERM, r, rounded
+from tidemark.session import cut
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -177,7 +178,8 @@ def logit_calibration(spark, sf_dir):
 
 
 def panel(spark, sf_dir):
-    return panels.build_panel(weekly_panel(spark, sf_dir), "week")
+    """The weekly panel, derived once: every query on it reads it in several branches."""
+    return cut(panels.build_panel(cut(weekly_panel(spark, sf_dir)), "week"))
 
 
 FULL = f"""{PANEL}, dn as (select wkd, count(distinct asset) n from panel group by wkd), wk as (select wkd, cast(row_number() over (order by wkd) - 1 as int) bar from dn where wkd >= (select min(wkd) from dn where n >= 10)),
@@ -216,13 +218,13 @@ def xs_permuted(spark, sf_dir):
     return panels.xs_permuted(panel(spark, sf_dir), "reversal", 4, 5, PANEL_PERM)
 
 
-PAIRS = f"""{FULL}, nm as (select distinct asset from pnl0 order by asset limit 13), pr as (select asset, bar, close, {Q.ret()} ret from pnl0 where asset in (select asset from nm)),
+PAIRS = f"""{FULL}, nm as (select distinct asset from pnl0), pr as (select asset, bar, close, {Q.ret()} ret from pnl0 where asset in (select asset from nm)),
 pj as (select a.asset asset_a, b.asset asset_b, a.bar, ln(a.close) - ln(b.close) x, a.ret ret_a, b.ret ret_b from pr a join pr b on a.bar = b.bar and a.asset < b.asset), sp as (select *, x - avg(x) over (partition by asset_a, asset_b) spread from pj),
 zz as (select *, (spread - {Q.roll('avg', 'spread', 30, 'asset_a, asset_b')}) / nullif({Q.roll('stddev_samp', 'spread', 30, 'asset_a, asset_b')}, 0) z from sp), ps as (select *, case when {Q.above('z', '2')} then -1.0 when {Q.above('-2', 'z')} then 1.0 else 0.0 end as position from zz),
 pn as (select *, coalesce({Q.prev('position', 1, 'asset_a, asset_b')}, 0) * (ret_a - ret_b) - coalesce(abs(position - {Q.prev('position', 1, 'asset_a, asset_b')}), 0) * 0.0006 net, count(*) over (partition by asset_a, asset_b) n from ps)"""
 
 
-@query(f"with {PAIRS} select asset_a, asset_b, bar, round(spread, 8) spread, position, round(net, 10) net from pn where asset_a = (select min(asset) from nm)")
+@query(f"with {PAIRS} select asset_a, asset_b, bar, round(spread, 8) spread, position, round(net, 10) net from pn")
 def pairs_pnl(spark, sf_dir):
     k = ["asset_a", "asset_b"]
     from tidemark.operators.strategies import spread_reversion
@@ -387,7 +389,6 @@ def factor_permutation(spark, sf_dir):
 @query()
 def panic_battery(spark, sf_dir):
     from tidemark.operators.battery import panic_battery as battery_of
-    from tidemark.session import cut
 
     ret = returns(spark, sf_dir)
     labels = cut(regimes.label(ret, regimes.fit_models(ret.where("bar > 0"), KEY, k=3, train=0.4), KEY))
@@ -398,7 +399,7 @@ def panic_battery(spark, sf_dir):
 def grid_verdicts(spark, sf_dir):
     from tidemark.operators import battery, strategies
 
-    return battery.grid_verdicts(daily_bars(spark, sf_dir), strategies.REGISTRY, KEY, n_perm=GRID_PERM)
+    return battery.grid_verdicts(bars_once(spark, sf_dir), strategies.REGISTRY, KEY, n_perm=GRID_PERM)
 
 
 @query()

@@ -73,3 +73,11 @@ def sharpe(x: str = "net") -> str:
 
 def corr(x: str, y: str) -> str:
     return f"case when stddev_pop({x}) filter ({y} is not null) > 1e-15 and stddev_pop({y}) filter ({x} is not null) > 1e-15 then covar_pop({x}, {y}) / (stddev_pop({x}) filter ({y} is not null) * stddev_pop({y}) filter ({x} is not null)) end"
+
+
+def draw(what: str, keys: str, perm_id: str = "perm_id", bar: str = "bar") -> str:
+    """The draw of tidemark.operators.scenarios; keys: the keys joined by '|' as SQL."""
+    x = f"(({bar}::bigint * 2654435761 + {perm_id}::bigint * 2246822507 + cast('0x' || substr(md5('{what}|' || {keys}), 1, 8) as bigint)) % 4294967296)"
+    for _ in range(2):
+        x = f"list_transform([{x}], lambda v: xor(v, v >> 16) * 73244475 % 4294967296)[1]"
+    return f"list_transform([{x}], lambda v: xor(v, v >> 16))[1]"

@@ -20,6 +20,7 @@ def get_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -38,6 +39,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and go on from the files: it is computed once and survives lost executors."""
+    """Write df to the checkpoint folder and go on from the files: it is computed once and survives lost executors.
+    With spark.cleaner.referenceTracking.cleanCheckpoints (get_session sets it) the files go once nothing refers to them."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
