@@ -263,7 +263,7 @@ def test_registered_counts_are_the_references(spark, tiny, monkeypatch):
 def test_sign_flip_at_the_full_count_equals_a_replay(spark, tiny):
     c = duckdb.connect()
     c.execute(f"create view lineitem as select * from '{tiny}/lineitem.parquet'")
-    want = c.execute(f"select asset, pf, n_perm, p_value from ({market.SQL['sign_flip'].replace('range(1, 51)', 'range(1, 1001)')}) order by 1").fetchall()
+    want = c.execute(f"select asset, pf, n_perm, p_value from ({market.SQL['sign_flip'].replace('range(1, 1001)', 'range(1, 1001)')}) order by 1").fetchall()
     got = [tuple(r) for r in market.QUERIES["sign_flip"](spark, tiny).select("asset", "pf", "n_perm", "p_value").orderBy("asset").collect()]
     assert len(got) == len(want) and all(r[2] == 1000 for r in got)
     for x, y in zip(got, want):
@@ -313,7 +313,8 @@ def test_grid_verdicts_ask_for_gate_and_audit(spark, tiny, monkeypatch):
     assert leak.passed and not leak.clean and not leak.raw_sig and not leak.corrected_sig
     seen = []
     monkeypatch.setattr(battery, "grid_verdicts", lambda bars, registry, *a, **k: seen.extend(registry))
-    risk.QUERIES["grid_verdicts"](spark, tiny)
+    monkeypatch.setattr(market, "rounded", lambda d, *a: d)
+    market.QUERIES["grid_verdicts"](spark, tiny)
     assert seen == list(strategies.REGISTRY) and len(seen) == 6
 
 

@@ -88,7 +88,11 @@ def mcpt(bars: DataFrame, keys: Keys, rule: Strategy, costs: Costs = Costs(), n_
     out = perm.join(real, list(keys)).groupBy(*keys).agg(
         F.first("real").alias("real"), F.avg(finite).alias("perm_mean"), F.percentile("score", F.lit(0.95)).alias("perm_p95"), F.count(F.lit(1)).alias("n_perm"), M.p_value("real", "score").alias("p_value")
     )
-    return out.withColumn("verdict", F.when(F.col("p_value") < 0.01, "REAL").when(F.col("p_value") < 0.05, "SUSPECT").otherwise("NOISE"))
+    return out.withColumn("verdict", verdict(F.col("p_value")))
+
+
+def verdict(p: Column) -> Column:
+    return F.when(p < 0.01, "REAL").when(p < 0.05, "SUSPECT").otherwise("NOISE")
 
 
 def sign_flip(net: DataFrame, keys: Keys, n_perm: int = 1000, seed: int = 42) -> DataFrame:
@@ -112,14 +116,67 @@ def regime_autocorr(returns: DataFrame, keys: Keys, n_perm: int = 2000, seed: in
     return out.select(*keys, "n", F.when(ok, F.col("autocorr")).alias("autocorr"), F.when(ok, F.col("p_value")).alias("p_value"))
 
 
+def replay(bars: DataFrame, registry: dict[str, Strategy], keys: Keys, costs: Costs = Costs(), n_perm: int = 1000, n_folds: int = 6, n_cuts: int = 12, warmup: int = 50, ma: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(scores, positions) of every rule of the registry over one frame of scenarios.
+
+    The real bars, their folds and truncated histories are rows of one frame under the key (keys, scenario, number), written
+    once; the permutations, nearly all of the rows, stay partitioned by (keys, number), and are written if more than one rule
+    reads them. scores: one row per (strategy, keys, scenario, number) with pf, ret_pct, at and position (its last bar and the
+    decision there), up_bps and down_bps (by the trend of the real bars). positions: (strategy, keys, at, full), the
+    decisions on the real bars.
+    """
+    k = [*keys, "scenario", "number"]
+    real = bars.withColumn("__ma", roll_mean("close", ma, keys)).withColumn("regime", trend_regime(keys, ma)).drop("__ma")
+    shape = [*keys, "bar", *(c for c in ("day",) if c in bars.columns), "open", "high", "low", "close"]
+    none = F.lit(None).cast("string")
+
+    def scene(df: DataFrame, name: str, number: Column, regime: Column) -> DataFrame:
+        return df.select(*shape, F.lit(name).alias("scenario"), number.cast("int").alias("number"), regime.alias("regime"))
+
+    checks = scene(real, "real", F.lit(0), F.col("regime")).unionByName(scene(S.folds(bars, keys, n_folds), "fold", F.col("fold"), none))
+    checks = cut(checks.unionByName(scene(S.truncations(bars, keys, n_cuts, warmup), "cut", F.col("cut"), none)))
+    perms = S.permute_prices(bars, keys, n_perm)
+    perms = perms.join(bars.select(*keys, "bar", "day"), [*keys, "bar"]) if "day" in bars.columns else perms
+    perms = cut(perms) if len(registry) > 1 else perms
+
+    def run(frame: DataFrame, by: list[str]) -> DataFrame:
+        out = None
+        for name, rule in registry.items():
+            one = strategy_returns(rule(frame, by), by, costs).withColumn("strategy", F.lit(name)).select("strategy", *by, "bar", "position", "net", *(["regime"] if "scenario" in by else []))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    seen = run(checks, k)
+    of = lambda regime: M.mean_bps(F.when(F.col("regime") == regime, F.col("net")))
+    scores = seen.groupBy("strategy", *k).agg(
+        M.profit_factor("net").alias("pf"), M.total_return_pct("net").alias("ret_pct"), F.max("bar").alias("at"), F.max_by("position", "bar").alias("position"), of("UP").alias("up_bps"), of("DOWN").alias("down_bps")
+    )
+    drawn = run(perms, [*keys, "perm_id"]).groupBy("strategy", *keys, "perm_id").agg(M.profit_factor("net").alias("pf"))
+    scores = scores.unionByName(drawn.withColumnRenamed("perm_id", "number").withColumn("scenario", F.lit("perm")), allowMissingColumns=True)
+    return scores, seen.where("scenario = 'real'").select("strategy", *keys, F.col("bar").alias("at"), F.col("position").alias("full"))
+
+
+def verdicts(bars: DataFrame, registry: dict[str, Strategy], keys: Keys, costs: Costs = Costs(), n_perm: int = 1000, threshold: float = 0.6) -> DataFrame:
+    """(strategy, keys, real, p_value, folds, profitable, passed, cuts, mismatches, clean, beta): all checks of each rule and key
+    by one replay; the rules are those of mcpt, gate, lookahead_audit and regime_check."""
+    cell = ["strategy", *keys]
+    scores, full = replay(bars, registry, keys, costs, n_perm)
+    scores = cut(scores)  # one row a scenario
+    real = scores.where("scenario = 'real'").select(*cell, F.col("pf").alias("real"), ((F.col("up_bps") > 0) & (F.col("down_bps") <= 0)).alias("beta"))
+    perm = scores.where("scenario = 'perm'").join(real, cell).groupBy(*cell).agg(F.first("real").alias("real"), F.first("beta").alias("beta"), M.p_value("real", "pf").alias("p_value"))
+    folds = gate(scores.where("scenario = 'fold'"), cell, threshold)
+    close = F.abs(F.col("position") - F.col("full")) <= 1e-8 + 1e-5 * F.abs(F.col("full"))
+    same = F.when(F.col("position").isNull() | F.col("full").isNull(), F.col("position").eqNullSafe(F.col("full"))).otherwise(close)
+    audit = scores.where("scenario = 'cut'").join(full, [*cell, "at"]).groupBy(*cell).agg(F.count(F.lit(1)).alias("cuts"), F.sum((~same).cast("int")).alias("mismatches"))
+    out = perm.join(folds, cell, "left").join(audit, cell, "left").withColumn("clean", F.col("mismatches") == 0)
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("passed", "clean")})
+
+
 def full_gauntlet(bars: DataFrame, keys: Keys, rule: Strategy, costs: Costs = Costs(), n_perm: int = 1000) -> DataFrame:
     """One row a key with every check and survives: a clean audit, p under 0.01 and the gate passed."""
-    audit = lookahead_audit(bars, keys, rule).select(*keys, "clean", "mismatches")
-    test = mcpt(bars, keys, rule, costs, n_perm).select(*keys, "real", "p_value", "verdict")
-    folds = gate(walk_forward(bars, keys, rule, costs), keys)
-    beta = regime_check(bars, keys, rule, costs).where("regime = 'UP'").select(*keys, "beta")
-    out = audit.join(test, list(keys)).join(folds, list(keys)).join(beta, list(keys))
-    return out.withColumn("survives", F.col("clean") & (F.col("p_value") < 0.01) & F.col("passed"))
+    out = verdicts(bars, {"rule": rule}, keys, costs, n_perm).withColumn("verdict", verdict(F.col("p_value")))
+    survives = F.col("clean") & (F.col("p_value") < 0.01) & F.col("passed")
+    return out.select(*keys, "clean", "mismatches", "real", "p_value", "verdict", "folds", "profitable", "passed", "beta", survives.alias("survives"))
 
 
 def market_of(bars: DataFrame) -> DataFrame:
@@ -132,35 +189,12 @@ def grid_verdicts(bars: DataFrame, registry: dict[str, Strategy], keys: Keys, co
     """(strategy, keys, pf, p_value, beta, passed, clean, raw_sig, corrected_sig) over strategies x assets. raw_sig takes p under
     alpha, the walk-forward gate passed and a clean look-ahead audit; corrected_sig p under alpha over all cells, both of these
     and no beta. Every rule runs on the same permutations."""
-    k = [*keys, "perm_id"]
-    prices = S.permute_prices(bars, keys, n_perm)
-    days = bars.select(*keys, "bar", "day") if "day" in bars.columns else None
-    prices = cut(prices.join(days, [*keys, "bar"]) if days is not None else prices)  # every rule reads them
-    parts, checks, reals = [], [], []
-    for name, rule in registry.items():
-        tag = F.lit(name).alias("strategy")
-        parts.append(strategy_returns(rule(prices, k), k, costs).select(tag, *k, "net"))
-        reals.append(strategy_returns(rule(bars, keys), keys, costs).select(tag, *keys, "net"))
-        beta = regime_check(bars, keys, rule, costs).where("regime = 'UP'").select(*keys, "beta")
-        passed = gate(walk_forward(bars, keys, rule, costs), keys).select(*keys, "passed")
-        clean = lookahead_audit(bars, keys, rule).select(*keys, "clean")
-        checks.append(beta.join(passed, list(keys), "left").join(clean, list(keys), "left").select(tag, *keys, "beta", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("passed", "clean"))))
-
-    def union(frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
-
-    cell = ["strategy", *keys]
-    real = union(reals).groupBy(*cell).agg(M.profit_factor("net").alias("pf"))
-    perm = union(parts).groupBy(*cell, "perm_id").agg(M.profit_factor("net").alias("score"))
-    out = perm.join(real, cell).groupBy(*cell).agg(F.first("pf").alias("pf"), M.p_value("pf", "score").alias("p_value")).join(union(checks), cell)
-    n = real.groupBy().agg(F.count(F.lit(1)).alias("cells")).withColumn("one", F.lit(1))
-    out = out.withColumn("one", F.lit(1)).join(F.broadcast(n), "one")  # one row
+    out = verdicts(bars, registry, keys, costs, n_perm).withColumn("one", F.lit(1))
+    n = bars.select(*keys).distinct().agg((F.count(F.lit(1)) * len(registry)).alias("cells")).withColumn("one", F.lit(1))
+    out = out.join(F.broadcast(n), "one")  # one row
     holds = F.col("passed") & F.col("clean")
     raw, corrected = (F.col("p_value") < alpha) & holds, (F.col("p_value") < alpha / F.col("cells")) & holds & ~F.col("beta")
-    return out.select(*cell, "pf", "p_value", "beta", "passed", "clean", raw.alias("raw_sig"), corrected.alias("corrected_sig"))
+    return out.select("strategy", *keys, F.col("real").alias("pf"), "p_value", "beta", "passed", "clean", raw.alias("raw_sig"), corrected.alias("corrected_sig"))
 
 
 def panic_battery(labels: DataFrame, keys: Keys, crisis: int, ret: str = "ret", costs: Costs = Costs(), n_perm: int = 2000, least: int = 30) -> DataFrame:

@@ -291,6 +291,36 @@ def ledger_assess(spark, sf_dir):
     return d.withColumns({"corrected_bar": r("corrected_bar", 12), "expected_false": r("expected_false", 6)})
 
 
-@query()
+def verdict_sql(rules: dict[str, str], n: int) -> str:
+    """CTEs up to v (strategy, asset, real, p_value, folds, profitable, passed, mismatches, clean, beta): every scenario of an
+    asset is an asset of its own, named asset#scenario#number, so that the positions of POSITION run over all of them."""
+    runs = " union all ".join(f"select '{name}' strategy, asset, bar, position, net from (with {sql} select asset, bar, position, {Q.net()} net from pos)" for name, sql in rules.items())
+    return f"""with sc as materialized (with {perm_sql(n)}, nn as (select *, count(*) over (partition by asset) n from bars), ff as (select *, cast(least(bar // (n // 6), 5) as int) fold from nn),
+ fb as (select *, bar - min(bar) over (partition by asset, fold) fbar, count(*) over (partition by asset, fold) size from ff), cn as (select asset, count(*) n from bars group by asset),
+ cp as (select distinct asset, cast(floor(55 + i * (n - 1 - 55.0) / 11 + 1e-9) as int) lim from cn, range(12) t(i)),
+ rg as (select *, {Q.roll('avg', 'close', 50)} ma from bars), rs as (select *, ma - {Q.prev('ma')} sl from rg),
+ rx as (select *, case when {Q.above('close', 'ma')} and {Q.above('sl', '0')} then 'UP' when {Q.above('ma', 'close')} and {Q.above('0', 'sl')} then 'DOWN' else 'FLAT' end regime from rs)
+ select asset || '#perm#' || perm_id asset, bar, open, high, low, close, null regime from perm union all select asset || '#real#0', bar, open, high, low, close, regime from rx
+ union all select asset || '#fold#' || fold, cast(fbar as int), open, high, low, close, null from fb where size >= 10 union all select b.asset || '#cut#' || lim, b.bar, open, high, low, close, null from bars b join cp on b.asset = cp.asset and b.bar < cp.lim),
+bars as (select asset, bar, open, high, low, close from sc), g as materialized ({runs}), h as (select strategy, split_part(g.asset, '#', 1) asset, split_part(g.asset, '#', 2) kind, split_part(g.asset, '#', 3) num, g.bar, position, net, regime from g left join sc on sc.asset = g.asset and sc.bar = g.bar and g.asset like '%#real#0'),
+s as (select strategy, asset, kind, num, {Q.pf()} pf, {Q.total()} ret, max(bar) lastbar, arg_max(position, bar) pos, coalesce(avg(net) filter (regime = 'UP'), 0) u, coalesce(avg(net) filter (regime = 'DOWN'), 0) d from h group by 1, 2, 3, 4),
+re as (select strategy, asset, pf as real, u > 0 and d <= 0 beta from s where kind = 'real'),
+pe as (select strategy, asset, (1 + sum(case when pf >= real - 1e-12 then 1 else 0 end)) / (1 + count(*)) p_value from s join re using (strategy, asset) where kind = 'perm' group by 1, 2),
+fo as (select strategy, asset, count(*) folds, cast(sum(case when ret > 0 then 1 else 0 end) as bigint) profitable from s where kind = 'fold' group by 1, 2),
+au as (select s.strategy, s.asset, cast(sum(case when s.pos is distinct from f.position then 1 else 0 end) as bigint) mismatches from s join h f on f.kind = 'real' and f.strategy = s.strategy and f.asset = s.asset and f.bar = s.lastbar where s.kind = 'cut' group by 1, 2),
+v as (select *, profitable >= 0.6 * folds - 1e-12 passed, mismatches = 0 clean from re join pe using (strategy, asset) join fo using (strategy, asset) join au using (strategy, asset))"""
+
+
+@query(f"""{verdict_sql({'reversal_5': POSITION['reversal_5']}, PRICE_PERM)} select asset, clean, mismatches, round(real, 6) as "real", round(p_value, 6) p_value, case when p_value < 0.01 then 'REAL' when p_value < 0.05 then 'SUSPECT' else 'NOISE' end verdict,
+ folds, profitable, passed, beta, clean and p_value < 0.01 and passed survives from v""")
 def full_gauntlet(spark, sf_dir):
-    return battery.full_gauntlet(bars_once(spark, sf_dir), KEY, strategies.sma20, n_perm=PRICE_PERM)
+    return rounded(battery.full_gauntlet(bars_once(spark, sf_dir), KEY, strategies.reversal, n_perm=PRICE_PERM), 6)
+
+
+GRID_RULES = {{"macd_200_adjusted": "macd_200"}.get(g, g): POSITION[g] for g in GRID}
+
+
+@query(f"""{verdict_sql(GRID_RULES, GRID_PERM)}, n as (select count(*) c from v)
+select strategy, asset, round(real, 6) pf, round(p_value, 6) p_value, beta, passed, clean, p_value < 0.05 and passed and clean raw_sig, p_value < 0.05 / c and passed and clean and not beta corrected_sig from v, n""")
+def grid_verdicts(spark, sf_dir):
+    return rounded(battery.grid_verdicts(bars_once(spark, sf_dir), strategies.REGISTRY, KEY, n_perm=GRID_PERM), 6)

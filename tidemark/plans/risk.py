@@ -9,8 +9,8 @@ from tidemark.functions import metrics as M
 from tidemark.functions import windows as W
 from tidemark.operators import asof, calibration, features, logistic, panels, pnl, regimes, structure, volatility
 from tidemark.plans import sql as Q
-from tidemark.plans.inputs import BARS, FILED, FORECASTS, PANEL, bars_once, daily_bars, forecasts, order_filings, weekly_panel
-from tidemark.plans.market import GRID_PERM, KEY, PANEL_PERM, REGIME_PERM, r, rounded
+from tidemark.plans.inputs import BARS, FILED, FORECASTS, PANEL, daily_bars, forecasts, order_filings, weekly_panel
+from tidemark.plans.market import KEY, PANEL_PERM, REGIME_PERM, r, rounded
 from tidemark.session import cut
 
 QUERIES: dict = {}
@@ -395,13 +395,6 @@ def panic_battery(spark, sf_dir):
     return battery_of(labels, KEY, 2, n_perm=REGIME_PERM)
 
 
-@query()
-def grid_verdicts(spark, sf_dir):
-    from tidemark.operators import battery, strategies
-
-    return battery.grid_verdicts(bars_once(spark, sf_dir), strategies.REGISTRY, KEY, n_perm=GRID_PERM)
-
-
 @query()
 def overnight_calm(spark, sf_dir):
     """The overnight return on bars that are neither in the stormiest regime nor above the median volatility."""
