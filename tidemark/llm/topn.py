@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.clean import genuine_pe, norm_key, number, round4
+from tidemark.session import cut
+
+#: Groups whose bounds are sent to all tasks at once at most.
+BROADCAST_GROUPS = 500_000
 
 
 def top_n(df: DataFrame, group: str, item: str, score: Sequence[Column], n: int) -> DataFrame:
@@ -19,16 +23,17 @@ def top_n(df: DataFrame, group: str, item: str, score: Sequence[Column], n: int)
 
     Each input partition keeps the rows of its n best scores per group. Of these rows, reduced to each item's best score, the
     n-th best item is a lower bound of the group's n-th best, whatever else the group holds; with less than n items there is
-    no bound. It is joined to the rows, rows below it are dropped, and only survivors are ranked. The local ranks and the last one are group-limited before their shuffle
-    (WindowGroupLimit), so a partition sends at most n items of a group; at the join AQE splits hot groups or broadcasts
-    the bounds, after it measured their size.
+    no bound. The bounds, one row per group at most, are written and counted: up to BROADCAST_GROUPS are broadcast to the scan
+    of the rows, so that only survivors are shuffled; more of them are joined by a shuffle, whose hot groups AQE splits. The
+    local ranks and the last one are group-limited before their shuffle (WindowGroupLimit).
     """
     key = F.struct(*(F.struct(c.isNotNull(), c) for c in score), -F.col(item))
     rows = df.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("i"), key.alias("s"))
     local = rows.select("g", "i", "s", F.spark_partition_id().alias("p"))
     local = local.withColumn("r", F.dense_rank().over(Window.partitionBy("g", "p").orderBy(F.desc("s")))).where(F.col("r") <= n)
     tops = local.groupBy("g", "i").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s"))))
-    bounds = tops.where(F.col("r") == n).select("g", F.col("s").alias("bound"))
+    bounds = cut(tops.where(F.col("r") == n).select("g", F.col("s").alias("bound")))
+    bounds = F.broadcast(bounds) if bounds.count() <= BROADCAST_GROUPS else bounds
     survivors = rows.join(bounds, "g", "left").where(F.col("bound").isNull() | (F.col("s") >= F.col("bound")))
     items = survivors.groupBy("g", "i").agg(F.max("s").alias("s"))
     rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s")))
