@@ -110,6 +110,26 @@ def test_mix_shares_and_caps(spark):
     assert len(empty) == 3 and all(x.drawn == 0 for x in empty)
 
 
+def test_mix_of_rare_draws(spark):
+    sizes = spark.range(200_000).selectExpr("id doc_id", "'rare' source", "100 size").union(spark.createDataFrame([(10**6, "rest", 10)], "doc_id bigint, source string, size int"))
+    targets = spark.createDataFrame([("rare", 4.1e-5, 3), ("rest", 0.999959, 3)], "source string, target_share double, max_repeats int")
+    report = {x.source: x for x in mixing.mix_documents(sizes, targets)[1].collect()}
+    goal = 4.1e-5 * 20_000_010 / 100
+    assert abs(report["rare"].copies - goal) < 1 and report["rare"].most == 1 and report["rare"].documents == 200_000
+
+
+def test_top_n_of_an_item_with_many_scores(spark):
+    rows = [("g", 1, float(x)) for x in (10, 9, 8, 7, 6)] + [("g", i, float(6 - i)) for i in range(2, 8)]
+    for parts in (1, 3):
+        d = spark.createDataFrame(rows, "g string, i bigint, s double").repartition(parts)
+        assert sorted((r["rank"], r.i) for r in topn.top_n(d, "g", "i", [F.col("s")], 5).collect()) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+        topn.BROADCAST_GROUPS, kept = -1, topn.BROADCAST_GROUPS
+        try:
+            assert topn.top_n(d, "g", "i", [F.col("s")], 5).count() == 5
+        finally:
+            topn.BROADCAST_GROUPS = kept
+
+
 def check_pieces(text, enc, rule):
     pieces = splitting.split_text(text, enc, rule)
     ids = np.frombuffer(enc.ids(text), np.int32).tolist()
@@ -121,7 +141,7 @@ def check_pieces(text, enc, rule):
     for a, b in zip(pieces, pieces[1:]):
         assert b[0] == max(0, a[1] - rule.overlap)
     for s, e, c, d, _ in pieces:
-        assert 0 < e - s <= rule.room
+        assert 0 < e - s <= rule.room and enc.count(text[c:d]) <= rule.limit
         raw, body = enc.encoding.decode_bytes(ids[s:e]), text[c:d].encode()
         assert body.endswith(raw) and len(body) - len(raw) <= 3
     return pieces
@@ -149,6 +169,8 @@ def test_split_documents(spark, enc):
     p = splitting.split_documents(d, "doc_id", "text").toPandas()
     n = [enc.count(t) if t else 0 for t in texts]
     assert set(p[p.piece > 0].doc_id) == {i for i, x in enumerate(n) if x > 600}
+    bare = splitting.split_documents(d, "doc_id", "text", with_text=False).toPandas()
+    assert bare.equals(p.drop(columns="text"))
     assert p[p.doc_id == 0].text.iloc[0] is None and p[p.doc_id == 1].text.iloc[0] == "" and p[p.doc_id == 2].text.iloc[0] == "short"
     assert splitting.split_documents(d.limit(0), "doc_id", "text").count() == 0
 

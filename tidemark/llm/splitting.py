@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import accumulate
 
 import numpy as np
@@ -27,7 +27,8 @@ ENDS = tuple(".!?…。！？\"”»")
 @dataclass(frozen=True)
 class SplitRule:
     """limit: most tokens of a piece; overlap: tokens that a piece repeats of the one before it; slack: tokens that a cut
-    piece stays under limit, since its text may take a few tokens more when it is encoded on its own."""
+    piece stays under limit, since its text may take a few tokens more when it is encoded on its own. A text with a piece
+    that takes more than limit nevertheless is split again with a greater slack."""
 
     limit: int = 600
     overlap: int = 50
@@ -139,22 +140,40 @@ def overlap_start(text: str, enc: ByteLevel, at: int, over: int) -> int:
         width *= 4
 
 
-def split_text(text: str | None, enc: ByteLevel, rule: SplitRule, with_chars: bool = True) -> list[tuple[int, int, int, int, str]]:
+def fits(text: str, enc: ByteLevel, piece: tuple[int, int, int, int, str], limit: int) -> bool:
+    """Whether the piece takes at most limit tokens when it is encoded on its own.
+
+    From its first certain cut on it has the document's own tokens; before it, it has at most those of the fragment that it
+    starts in. Only if this bound is over the limit, or the piece ends inside a word, the whole piece is counted.
+    """
+    start, end, char, upto, kind = piece
+    m = SPACE.search(text, char, upto)
+    if kind != KINDS[INSIDE] and end - start + enc.count(text[char : m.start() if m else upto]) <= limit:
+        return True
+    return enc.count(text[char:upto]) <= limit
+
+
+def split_text(text: str | None, enc: ByteLevel, rule: SplitRule) -> list[tuple[int, int, int, int, str]]:
     """(token_start, token_end, char_start, char_end, boundary) of each piece; boundary is the kind behind the piece."""
     if not text:
         return [(0, 0, 0, 0, "end")]
-    sizes, ends, strengths = segments(text, enc, rule)
-    total = sum(sizes)
-    if total <= rule.limit:
-        return [(0, total, 0, len(text), "end")]
-    out, tokens, chars, first = [], 0, 0, 0
-    for e in merge(sizes, strengths, rule):
-        upto = tokens + sum(sizes[first : e + 1])
-        char = overlap_start(text, enc, chars, rule.overlap) if with_chars and tokens else chars
-        out.append((max(0, tokens - rule.overlap), upto, char, ends[e], KINDS[strengths[e]]))
-        tokens, chars, first = upto, ends[e], e + 1
-    out[-1] = (*out[-1][:4], "end")
-    return out
+    while True:
+        sizes, ends, strengths = segments(text, enc, rule)
+        total = sum(sizes)
+        if total <= rule.limit:
+            return [(0, total, 0, len(text), "end")]
+        out, tokens, chars, first = [], 0, 0, 0
+        for e in merge(sizes, strengths, rule):
+            upto = tokens + sum(sizes[first : e + 1])
+            char = overlap_start(text, enc, chars, rule.overlap) if tokens else 0
+            out.append((max(0, tokens - rule.overlap), upto, char, ends[e], KINDS[strengths[e]]))
+            tokens, chars, first = upto, ends[e], e + 1
+        if all(fits(text, enc, p, rule.limit) for p in out):
+            out[-1] = (*out[-1][:4], "end")
+            return out
+        if rule.room - rule.overlap <= 1:
+            raise ValueError("a text has no pieces under the limit")
+        rule = replace(rule, slack=min(2 * rule.slack + 4, rule.limit - rule.overlap - 1))
 
 
 def split_documents(df: DataFrame, key: str, text: str, rule: SplitRule = SplitRule(), with_text: bool = True, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -175,7 +194,7 @@ def split_documents(df: DataFrame, key: str, text: str, rule: SplitRule = SplitR
             rows, held = [], 0
             for doc, body in zip(batch.column(0), batch.column(1)):
                 doc, body = doc.as_py(), body.as_py()
-                pieces = split_text(body, enc, rule, with_text)
+                pieces = split_text(body, enc, rule)
                 for i, p in enumerate(pieces):
                     rows.append((doc, i, len(pieces), *p, *([body[p[2] : p[3]] if body is not None else None] if with_text else [])))
                 held += len(body or "")
