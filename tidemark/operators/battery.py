@@ -35,6 +35,16 @@ def stream_folds(net: DataFrame, keys: Keys, n_folds: int = 6, active_only: bool
     return (out.where("active = 1") if active_only else out).drop("active")
 
 
+def stream_gate(net: DataFrame, keys: Keys, n_folds: int = 6, active_only: bool = False, threshold: float | None = None) -> DataFrame:
+    """(keys, profitable, folds, verdict) of an existing net stream: PASS if enough of its folds end with a gain, else FAIL. The
+    threshold is 0.6, or 0.5 with active_only, which counts only folds with a nonzero net: N/A with 0 folds if there are none."""
+    least = threshold if threshold is not None else 0.5 if active_only else 0.6
+    folds = stream_folds(net, keys, n_folds, active_only).groupBy(*keys).agg(F.sum((F.col("ret_pct") > 0).cast("int")).alias("profitable"), F.count(F.lit(1)).alias("folds"))
+    d = net.select(*keys).distinct().join(folds, list(keys), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("profitable", "folds")})
+    enough = F.col("profitable") >= least * F.col("folds") - 1e-12
+    return d.withColumn("verdict", F.when(F.col("folds") == 0, "N/A").when(enough, "PASS").otherwise("FAIL"))
+
+
 def recent_consistency(net: DataFrame, keys: Keys, n_folds: int = 6, recent: int = 3) -> DataFrame:
     """(keys, recent_profitable, recent_ret_pct) over the last `recent` folds."""
     d = S.with_length(net, keys).withColumn("fold", fold_of(F.col("n"), n_folds)).where(F.col("fold") >= n_folds - recent)

@@ -53,3 +53,8 @@ def calibration_report(df: DataFrame, n_bins: int = 10, label: str = "") -> Data
     scores = both(df).agg(brier("prob", "outcome").alias("brier"), F.var_pop("outcome").alias("brier_base"), F.lit(1).alias("one"))
     out = murphy(df, n_bins).withColumn("one", F.lit(1)).join(scores, "one").drop("one")
     return out.select(F.lit(label).alias("label"), "*", (1 - F.try_divide("brier", "brier_base")).alias("skill"))
+
+
+def useful(report: DataFrame, skill: float = 0.01, resolution: float = 1e-3) -> DataFrame:
+    """report of calibration_report with survives: skill over the base rate and resolution both above their least."""
+    return report.withColumn("survives", F.coalesce((F.col("skill") > skill) & (F.col("resolution") > resolution), F.lit(False)))

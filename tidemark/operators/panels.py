@@ -104,6 +104,19 @@ def pairs_scan(panel: DataFrame, costs: Costs = Costs(), n_folds: int = 6, recen
     return total.join(folds.groupBy(*k).agg(F.sum((F.col("r") > 0).cast("int")).alias("recent_profitable")), k)
 
 
+def spread_prices(frames: DataFrame) -> DataFrame:
+    """(asset_a, asset_b, bar, open, high, low, close): the log spread of pair_frames as a price around 100, its bars numbered anew,
+    so that every rule and test for prices runs on a pair."""
+    k = ["asset_a", "asset_b"]
+    d = frames.select(*k, (F.row_number().over(over(k)) - 1).alias("bar"), (100 * F.exp("spread")).alias("close"))
+    return d.select(*k, "bar", *(F.col("close").alias(c) for c in ("open", "high", "low", "close")))
+
+
+def spread_rule(prices: DataFrame, keys: list[str]) -> DataFrame:
+    """spread_reversion on spread prices."""
+    return spread_reversion(prices.withColumn("spread", F.ln("close")), keys)
+
+
 def pairs_verdicts(panel: DataFrame, costs: Costs = Costs(), n_perm: int = 300, n_folds: int = 6, recent: int = 3, least: int = 50, alpha: float = 0.05, seed: int = 42, assets: list[str] | None = None) -> DataFrame:
     """(asset_a, asset_b, active, ret_pct, recent_profitable, recent_ret_pct, p_value, corrected_bar, candidate) of the pairs
     with at least `least` bars in a position. p_value is the permutation test of the rule on the spread as a price; the bar is
@@ -112,9 +125,8 @@ def pairs_verdicts(panel: DataFrame, costs: Costs = Costs(), n_perm: int = 300,
     frames = pair_frames(panel, assets)
     net = pair_returns(spread_reversion(frames, k), k, costs)
     total = net.groupBy(*k).agg(M.total_return_pct("net").alias("ret_pct"), F.sum((F.col("position") != 0).cast("int")).alias("active")).where(F.col("active") >= least)
-    numbered = frames.join(total.select(*k), k, "left_semi").withColumns({"bar": F.row_number().over(over(k)) - 1, "close": 100 * F.exp("spread")})
-    prices = numbered.select(*k, "bar", *(F.col("close").alias(c) for c in ("open", "high", "low", "close")))
-    test = battery.mcpt(prices, k, lambda d, keys: spread_reversion(d.withColumn("spread", F.ln("close")), keys), costs, n_perm, seed=seed)
+    prices = spread_prices(frames.join(total.select(*k), k, "left_semi"))
+    test = battery.mcpt(prices, k, spread_rule, costs, n_perm, seed=seed)
     out = total.join(battery.recent_consistency(net.select(*k, "bar", "net"), k, n_folds, recent), k).join(test.select(*k, "p_value"), k).withColumn("one", F.lit(1))
     n = total.groupBy().agg(F.count(F.lit(1)).alias("tested")).withColumn("one", F.lit(1))
     out = out.join(F.broadcast(n), "one").withColumn("corrected_bar", alpha / F.col("tested"))  # one row

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as M
-from tidemark.functions.windows import Keys, lag
+from tidemark.functions.prefix import exact_median
+from tidemark.functions.windows import Keys, lag, roll_std
 
 MODEL = "k int, start array<double>, trans array<double>, mean array<double>, var array<double>, loglik double, rounds int"
 
@@ -171,6 +172,15 @@ def crisis_fade(labels: DataFrame, keys: Keys, crisis: int, ret: str = "ret", sc
     return labels.withColumn("position", F.when(lag("regime", keys) == crisis, -sgn * scale).otherwise(0.0))
 
 
+def overnight_in_calm(df: DataFrame, keys: Keys, crisis: int, ret: str = "ret", n: int = 20, cost: float = 1e-4) -> DataFrame:
+    """df (keys, bar, open, close, ret, regime) with calm and net: the return from the close before to the open, less cost, on bars
+    out of the crisis regime whose n-bar deviation is at most the key's median of it over the whole sample; else 0."""
+    d = df.withColumns({"__sd": roll_std(ret, n, keys), "__night": F.coalesce(F.try_divide(F.col("open"), lag("close", keys)) - 1, F.lit(0.0))})
+    d = d.join(exact_median(d, list(keys), "__sd", "__median"), list(keys), "left")
+    d = d.withColumn("calm", F.coalesce((F.col("regime") != crisis) & (F.col("__sd") <= F.col("__median")), F.lit(False)))
+    return d.withColumn("net", F.when(F.col("calm"), F.col("__night") - cost).otherwise(0.0)).drop("__sd", "__night", "__median")
+
+
 def conditioned_vol(labels: DataFrame, models: DataFrame, forecasts: DataFrame, keys: Keys, blend: float = 0.5) -> DataFrame:
     """(keys, n, qlike_base, qlike_conditioned, gain_pct): EWMA forecasts blended with the state variances weighted by the
     belief on the bar before. forecasts (keys, bar, method, forecast, realized)."""

@@ -32,28 +32,37 @@ def naive_variance(keys: Keys, ret: str, n: int = 21) -> Column:
     return F.var_pop(ret).over(over(keys).rowsBetween(-n, -1))
 
 
-def garch_variance(x: np.ndarray) -> float:
-    """One-step variance forecast of a GARCH(1,1) whose parameters maximise the Gaussian likelihood over a grid, with
-    the long-run variance at the sample's. The variance at t uses returns before t; the last shock enters once."""
-    x = np.asarray(x, float)
-    x = x[np.isfinite(x)]
-    v0 = float(np.var(x)) if len(x) else 0.0
-    if len(x) < 50 or v0 <= 0:
-        return v0
-    best, out = -np.inf, v0
-    for alpha in (0.02, 0.05, 0.08, 0.12, 0.18):
-        for beta in (0.70, 0.80, 0.85, 0.90, 0.94):
-            if alpha + beta >= 0.999:
-                continue
-            omega, v, ll = v0 * (1 - alpha - beta), v0, 0.0
-            for r2 in (x * x).tolist():
-                ll -= np.log(v) + r2 / v
-                v = omega + alpha * r2 + beta * v
-            if ll > best:
-                best, out = ll, v
+#: The grid of the GARCH(1,1) parameters.
+ALPHAS, BETAS = (0.02, 0.05, 0.08, 0.12, 0.18), (0.70, 0.80, 0.85, 0.90, 0.94)
+
+
+def garch_variances(pasts: list[np.ndarray]) -> np.ndarray:
+    """One-step variance forecasts of GARCH(1,1) models whose parameters maximise the Gaussian likelihood over a grid, with the
+    long-run variance at the sample's. The variance at t uses returns before t; the last shock enters once. Samples of less than
+    50 finite returns or without variance give their own variance. Samples of equal length and all grid points are one array,
+    so the recursion is one loop over time."""
+    pasts = [(x := np.asarray(p, float))[np.isfinite(x)] for p in pasts]
+    out = np.array([np.var(x) if len(x) else 0.0 for x in pasts], float)
+    grid = np.array([(a, b) for a in ALPHAS for b in BETAS if a + b < 0.999])
+    alpha, beta = grid[:, 0], grid[:, 1]
+    lengths = np.array([len(x) for x in pasts])
+    for n in np.unique(lengths[(lengths >= 50) & (out > 0)]):
+        rows = np.flatnonzero((lengths == n) & (out > 0))
+        squares = np.stack([pasts[i] for i in rows]) ** 2
+        omega = out[rows][:, None] * (1 - alpha - beta)
+        v, ll = np.repeat(out[rows][:, None], len(grid), axis=1), 0.0
+        for t in range(n):
+            s = squares[:, t, None]
+            ll = ll - np.log(v) - s / v
+            v = omega + alpha * s + beta * v
+        out[rows] = v[np.arange(len(rows)), np.argmax(ll, axis=1)]
     return out
 
 
+def garch_variance(x: np.ndarray) -> float:
+    return float(garch_variances([x])[0])
+
+
 def walk_forward_vol(df: DataFrame, keys: Keys, ret: str = "ret", train: int = 504, step: int = 21, target: int = 21, methods: tuple[str, ...] = ("naive", "ewma")) -> DataFrame:
     """(keys, bar, method, forecast, realized): every `step` bars from `train` on, the variance forecast from the train
     returns before and the population variance of the next `target` returns. 'garch' fits one task per (key, bar)."""
@@ -66,7 +75,7 @@ def walk_forward_vol(df: DataFrame, keys: Keys, ret: str = "ret", train: int = 5
 
         @F.pandas_udf("double")
         def fit(past: pd.Series) -> pd.Series:
-            return past.map(garch_variance)
+            return pd.Series(garch_variances(past.tolist()))
 
         k = [*keys, "bar"]
         # each return goes to the due bars that look back on it, at most train / step + 1; only these bars get a list
@@ -111,3 +120,13 @@ def vol_target_report(df: DataFrame, keys: Keys, ret: str = "ret", lookback: int
     d = d.withColumn("eq", F.sum(F.log1p(F.greatest("net", F.lit(-0.999999)))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.withColumns({"dd": F.exp(F.col("eq") - F.max("eq").over(w.rowsBetween(Window.unboundedPreceding, 0))) - 1, "rv": F.when(F.count("net").over(w.rowsBetween(-62, 0)) == 63, F.stddev_samp("net").over(w.rowsBetween(-62, 0)))})
     return d.groupBy(*k).agg(M.sharpe("net", population=True).alias("sharpe"), M.annual_vol("net").alias("vol"), F.min("dd").alias("max_drawdown"), F.try_divide(F.stddev_samp("rv"), F.avg("rv")).alias("vol_cv"))
+
+
+def overlay_wins(report: DataFrame, keys: Keys) -> DataFrame:
+    """(keys, higher_sharpe, steadier, shallower, survives) of vol_target_report: does the target beat holding in Sharpe ratio, in
+    the steadiness of its volatility and in drawdown; it survives with all three."""
+    of = lambda c, o: F.max(F.when(F.col("overlay") == o, F.col(c)))
+    d = report.groupBy(*keys).agg(
+        (of("sharpe", "target") > of("sharpe", "hold")).alias("higher_sharpe"), (of("vol_cv", "target") < of("vol_cv", "hold")).alias("steadier"), (of("max_drawdown", "target") > of("max_drawdown", "hold")).alias("shallower")
+    )
+    return d.withColumn("survives", F.col("higher_sharpe") & F.col("steadier") & F.col("shallower"))

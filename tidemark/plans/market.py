@@ -110,12 +110,14 @@ POSITION = {
     "sell_in_may": f"pos as (select *, {Q.one('month(day) in (11, 12, 1, 2, 3, 4)')} position from bars)",
     "day_of_week": f"pos as (select *, {Q.one('isodow(day) in (2, 3, 4)')} position from bars)",
     "after_down": f"pos as (select *, {Q.one(Q.above(Q.prev('close'), 'close'))} position from bars)",
+    "always_long": "pos as (select *, 1.0 as position from bars)",
+    "centred": f"cw as (select *, case when count(close) over w = 20 then avg(close) over w end ma from bars window w as (partition by asset order by bar rows between 10 preceding and 9 following)), pos as (select *, {Q.one(Q.above('close', 'ma'))} position from cw)",
     "arbitrary": f"pos as (select *, {Q.one('cast(floor(close * 100) as bigint) % 7 >= 4')} position from bars)",
 }
 RULES = {
     "macd_200": strategies.macd, "macd_200_adjusted": strategies.macd_adjusted, "rsi_reversion": strategies.rsi_reversion, "donchian_50": strategies.donchian, "reversal_5": strategies.reversal,
     "gap_fade": strategies.gap_fade, "trend_100": strategies.trend, "momentum_252": strategies.momentum, "turn_of_month": strategies.turn_of_month, "sell_in_may": strategies.winter,
-    "day_of_week": strategies.mid_week, "after_down": strategies.after_down, "arbitrary": strategies.arbitrary,
+    "day_of_week": strategies.mid_week, "after_down": strategies.after_down, "arbitrary": strategies.arbitrary, "always_long": strategies.always_long, "centred": strategies.centred,
 }
 
 for _name, _rule in RULES.items():

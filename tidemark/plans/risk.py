@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as M
 from tidemark.functions import windows as W
-from tidemark.operators import asof, calibration, features, logistic, panels, pnl, regimes, structure, volatility
+from tidemark.operators import asof, battery, calibration, features, logistic, panels, pnl, regimes, structure, volatility
 from tidemark.plans import sql as Q
-from tidemark.plans.inputs import BARS, FILED, FORECASTS, PANEL, daily_bars, forecasts, order_filings, weekly_panel
-from tidemark.plans.market import KEY, PANEL_PERM, REGIME_PERM, r, rounded
+from tidemark.plans.inputs import BARS, FILED, FORECASTS, PANEL, bars_once, daily_bars, forecasts, order_filings, weekly_panel
+from tidemark.plans.market import KEY, PANEL_PERM, REGIME_PERM, ids, perm_sql, r, rounded
 from tidemark.session import cut
 
 QUERIES: dict = {}
@@ -191,6 +191,10 @@ def build_panel(spark, sf_dir):
     return panel(spark, sf_dir).groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.max("bar").alias("last_bar"), r(F.avg("close"), 4).alias("mean_close"))
 
 
+def _xs_cte(kind: str) -> str:
+    return _xs_sql(SCORES[kind][0]).removeprefix(f"{FULL}, ")
+
+
 def _xs_sql(score: str) -> str:
     """score over pnl0 rows as x."""
     return f"""{FULL}, x0 as (select *, {Q.ret()} ret, close / {Q.prev('close')} - 1 r0 from pnl0), x1 as (select *, {score} score from x0),
@@ -213,9 +217,24 @@ for _n, (_s, _o) in SCORES.items():
     SQL[f"xs_{_n}"] = f"with {_xs_sql(_s)} select bar, round(net, 10) net from xs"
 
 
-@query()
+def shuffled_sql(source: str, keep: str) -> str:
+    """CTEs up to sh (asset, bar, perm_id, ret, keep): the returns of source shuffled within each asset."""
+    return f"""rp as (select * from {source}, {ids(PANEL_PERM)}), rows_at as (select asset, perm_id, bar, {keep} row_number() over (partition by asset, perm_id order by bar) pos from rp),
+dr as (select asset, perm_id, ret, row_number() over (partition by asset, perm_id order by {Q.draw('value42', 'asset')}) pos from rp), sh as (select * from rows_at join dr using (asset, perm_id, pos))"""
+
+
+def p_sql(real: str, permuted: str) -> str:
+    """The last select: real has the column net, permuted net and perm_id."""
+    return f"""ps as (select perm_id, {Q.pf()} score from {permuted} group by 1), rl as (select {Q.pf()} re from {real}) select round(max(re), 6) as "real", count(*) n_perm, round((1 + sum(case when score >= re - 1e-12 then 1 else 0 end)) / (1 + count(*)), 6) p_value from ps, rl"""
+
+
+@query(f"""with {_xs_sql(SCORES['reversal'][0])}, {shuffled_sql('x0', '')}, q0 as (select asset, perm_id, bar, exp({Q.cum('sum', 'ln(1 + ret)', 'asset, perm_id')}) * 100 as close from sh),
+q1 as (select *, {Q.ret('asset, perm_id')} ret, -(close / {Q.prev('close', 4, 'asset, perm_id')} - 1) score from q0),
+q2 as (select *, count(score) over (partition by perm_id, bar) n, row_number() over (partition by perm_id, bar order by score desc nulls last, asset desc) b, row_number() over (partition by perm_id, bar order by score asc nulls last, asset asc) w from q1),
+q3 as (select *, case when bar % 21 = 0 and bar > 0 and n >= 10 then case when score is null then 0 when b <= 5 then 0.2 when w <= 5 then -0.2 else 0 end end x from q2), q4 as (select asset, perm_id, bar, ret, coalesce({Q.held('x', 'asset, perm_id')}, 0) weight from q3),
+q5 as (select perm_id, bar, coalesce({Q.prev('weight', 1, 'asset, perm_id')}, 0) * ret - abs(weight - coalesce({Q.prev('weight', 1, 'asset, perm_id')}, 0)) * 0.0003 leg from q4), q6 as (select perm_id, bar, sum(leg) net from q5 group by 1, 2), {p_sql('xs', 'q6')}""")
 def xs_permuted(spark, sf_dir):
-    return panels.xs_permuted(panel(spark, sf_dir), "reversal", 4, 5, PANEL_PERM)
+    return rounded(panels.xs_permuted(panel(spark, sf_dir), "reversal", 4, 5, PANEL_PERM), 6)
 
 
 PAIRS = f"""{FULL}, nm as (select distinct asset from pnl0), pr as (select asset, bar, close, {Q.ret()} ret from pnl0 where asset in (select asset from nm)),
@@ -240,9 +259,19 @@ def pairs_scan(spark, sf_dir):
     return d.select("asset_a", "asset_b", r("ret_pct", 4).alias("ret_pct"), r("pf", 6).alias("pf"), "recent_profitable")
 
 
-@query()
+DAILY_PAIRS = PAIRS.replace(FULL, BARS.replace("bars as", "b1 as")).replace("pnl0", "b1")
+
+
+@query(f"""with {DAILY_PAIRS}, t as (select asset_a, asset_b, {Q.total()} ret_pct, sum(case when position <> 0 then 1 else 0 end) active from pn group by 1, 2 having sum(case when position <> 0 then 1 else 0 end) >= 50),
+fd as (select asset_a, asset_b, least(bar // (n // 6), 5) fold, {Q.total()} r, sum(ln(1 + greatest(net, -0.999999))) lg from pn group by 1, 2, 3), rc as (select asset_a, asset_b, sum(case when r > 0 then 1 else 0 end) k, (exp(sum(lg)) - 1) * 100 rr from fd where fold >= 3 group by 1, 2),
+bars as (select asset_a || '|' || asset_b asset, cast(row_number() over (partition by asset_a, asset_b order by bar) - 1 as int) bar, 100 * exp(spread) as open, 100 * exp(spread) high, 100 * exp(spread) low, 100 * exp(spread) as close from sp join t using (asset_a, asset_b)),
+{perm_sql(PANEL_PERM).removeprefix(BARS + ", ")}, al as (select asset, perm_id, bar, close from perm union all select asset, 0, bar, close from bars), l1 as (select *, ln(close) x from al),
+l2 as (select *, (x - {Q.roll('avg', 'x', 30, 'asset, perm_id')}) / nullif({Q.roll('stddev_samp', 'x', 30, 'asset, perm_id')}, 0) z from l1), l3 as (select *, case when {Q.above('z', '2')} then -1.0 when {Q.above('-2', 'z')} then 1.0 else 0.0 end as position from l2),
+l4 as (select asset, perm_id, {Q.net('asset, perm_id')} net from l3), l5 as (select asset, perm_id, {Q.pf()} score from l4 group by 1, 2), l6 as (select a.asset, (1 + sum(case when a.score >= b.score - 1e-12 then 1 else 0 end)) / (1 + count(*)) pv from l5 a join l5 b on a.asset = b.asset and b.perm_id = 0 where a.perm_id > 0 group by 1), tn as (select count(*) m from t)
+select t.asset_a, t.asset_b, active, round(ret_pct, 6) ret_pct, k recent_profitable, round(rr, 6) recent_ret_pct, round(pv, 6) p_value, round(0.05 / m, 6) corrected_bar, k = 3 and rr > 0 and pv < 0.05 / m candidate from t join rc using (asset_a, asset_b) join l6 on l6.asset = t.asset_a || '|' || t.asset_b, tn""")
 def pairs_verdicts(spark, sf_dir):
-    return panels.pairs_verdicts(panel(spark, sf_dir), n_perm=PANEL_PERM)
+    """All pairs of the daily bars; the weekly panel's pairs have too few bars in a position."""
+    return rounded(panels.pairs_verdicts(bars_once(spark, sf_dir).select("asset", "bar", "close"), n_perm=PANEL_PERM), 6)
 
 
 @query(f"""with {BARS}, x as (select asset, bar, {Q.ret()} ret, close / {Q.prev('close', 252)} - 1 past from bars where asset in ('AF', 'NO')), d as (select a.bar, a.ret ra, b.ret rb, a.past pa, b.past pb, 1 as one from x a join x b on a.bar = b.bar and a.asset = 'AF' and b.asset = 'NO'),
@@ -381,30 +410,88 @@ def factor_backtest(spark, sf_dir):
     return rounded(pnl.portfolio_returns(panels.factor_backtest(panel(spark, sf_dir), brand_scores(spark, sf_dir)), KEY), 10)
 
 
-@query()
+@query(f"""with {BACKTEST}, rn as (select bar, sum(leg) net from g group by bar), hl as (select asset, bar, ret, coalesce({Q.prev('weight')}, 0) held, abs(weight - coalesce({Q.prev('weight')}, 0)) * 0.0003 cost from h),
+{shuffled_sql('hl', 'held, cost,')}, pn as (select perm_id, bar, sum(held * ret - cost) net from sh group by 1, 2), {p_sql('rn', 'pn')}""")
 def factor_permutation(spark, sf_dir):
-    return panels.fixed_weight_permutation(panels.factor_backtest(panel(spark, sf_dir), brand_scores(spark, sf_dir)), PANEL_PERM)
+    return rounded(panels.fixed_weight_permutation(panels.factor_backtest(panel(spark, sf_dir), brand_scores(spark, sf_dir)), PANEL_PERM), 6)
 
 
 @query()
 def panic_battery(spark, sf_dir):
-    from tidemark.operators.battery import panic_battery as battery_of
+    return battery.panic_battery(hmm_labels(spark, sf_dir), KEY, 2, n_perm=REGIME_PERM)
 
-    ret = returns(spark, sf_dir)
-    labels = cut(regimes.label(ret, regimes.fit_models(ret.where("bar > 0"), KEY, k=3, train=0.4), KEY))
-    return battery_of(labels, KEY, 2, n_perm=REGIME_PERM)
+
+def calm_summary(d: DataFrame) -> DataFrame:
+    d = regimes.overnight_in_calm(d, KEY, 2)
+    return d.groupBy("asset").agg(F.sum(F.col("calm").cast("int")).alias("calm_bars"), r(M.total_return_pct("net"), 4).alias("ret_pct"), r(M.sharpe("net"), 6).alias("sharpe"))
 
 
 @query()
 def overnight_calm(spark, sf_dir):
-    """The overnight return on bars that are neither in the stormiest regime nor above the median volatility."""
+    """The overnight return on calm bars, by the regimes of a fitted model."""
     d = daily_bars(spark, sf_dir).withColumn("ret", W.bar_return("close", KEY))
-    labels = regimes.label(d, regimes.fit_models(d.where("bar > 0"), KEY, k=3), KEY).select("asset", "bar", "regime")
-    d = d.withColumns({"sd": W.roll_std("ret", 20, KEY), "night": F.coalesce(F.try_divide("open", W.lag("close", KEY)) - 1, F.lit(0.0))}).join(labels, ["asset", "bar"])
-    med = d.groupBy("asset").agg(F.median("sd").alias("med"))
-    d = d.join(med, "asset").withColumn("calm", F.coalesce((F.col("regime") != 2) & (F.col("sd") <= F.col("med")), F.lit(False)))
-    net = F.when(F.col("calm"), F.col("night") - 1e-4).otherwise(0.0)
-    return d.groupBy("asset").agg(F.sum(F.col("calm").cast("int")).alias("calm_bars"), M.total_return_pct(net).alias("ret_pct"), M.sharpe(net).alias("sharpe"))
+    return calm_summary(d.join(regimes.label(d, regimes.fit_models(d.where("bar > 0"), KEY, k=3), KEY).select("asset", "bar", "regime"), ["asset", "bar"]))
+
+
+@query(f"""with {SIZED}, v as (select asset, bar, regime, {Q.roll('stddev_samp', 'ret', 20)} sd from lab), ov as (select asset, bar, coalesce(open / {Q.prev('close')} - 1, 0) nt from bars),
+c as (select *, coalesce(regime <> 2 and sd <= median(sd) over (partition by asset), false) calm from v join ov using (asset, bar)), f as (select asset, calm, case when calm then nt - 1e-4 else 0 end net from c)
+select asset, sum(case when calm then 1 else 0 end) calm_bars, round({Q.total()}, 4) ret_pct, round({Q.sharpe()}, 6) sharpe from f group by asset""")
+def overnight_calm_sized(spark, sf_dir):
+    """The same by regimes that SQL can reproduce."""
+    d = daily_bars(spark, sf_dir).withColumn("ret", W.bar_return("close", KEY))
+    return calm_summary(d.join(sized(d).select("asset", "bar", "regime"), ["asset", "bar"]))
+
+
+def hmm_labels(spark, sf_dir):
+    ret = returns(spark, sf_dir)
+    return cut(regimes.label(ret, regimes.fit_models(ret.where("bar > 0"), KEY, k=3, train=0.4), KEY))
+
+
+@query()
+def direction_by_hmm_regime(spark, sf_dir):
+    return rounded(regimes.direction_by_regime(hmm_labels(spark, sf_dir), KEY))
+
+
+@query()
+def hmm_crisis_fade(spark, sf_dir):
+    """Fading crisis bars by the fitted model's causal labels, with the gate over the folds that had any."""
+    d = pnl.prelagged_returns(regimes.crisis_fade(hmm_labels(spark, sf_dir), KEY, 2), KEY, "ret")
+    out = d.groupBy("asset").agg(r(M.total_return_pct("net"), 4).alias("ret_pct"), r(M.profit_factor("net"), 6).alias("pf"), F.sum((F.col("position") != 0).cast("int")).alias("active"))
+    return out.join(battery.stream_gate(d.select("asset", "bar", "net"), KEY, active_only=True), "asset")
+
+
+@query(f"""with {SIZED}, p as (select asset, bar, ret, case when {Q.prev('regime')} = 2 then -sign({Q.prev('ret')}) else 0 end as position from lab), f as (select asset, bar, position * ret - abs(position - coalesce({Q.prev('position')}, 0)) * 0.0003 net, count(*) over (partition by asset) n from p),
+o as (select asset, least(bar // (n // 6), 5) fold, {Q.total()} r, max(case when net <> 0 then 1 else 0 end) act from f group by 1, 2), g as (select asset, cast(coalesce(sum(case when r > 0 then 1 else 0 end) filter (act = 1), 0) as bigint) profitable, count(*) filter (act = 1) folds from o group by 1)
+select asset, profitable, folds, case when folds = 0 then 'N/A' when profitable >= 0.5 * folds - 1e-12 then 'PASS' else 'FAIL' end verdict from g""")
+def crisis_fade_gate(spark, sf_dir):
+    d = pnl.prelagged_returns(regimes.crisis_fade(sized(returns(spark, sf_dir)), KEY, 2), KEY, "ret")
+    return battery.stream_gate(d.select("asset", "bar", "net"), KEY, active_only=True)
+
+
+@query(f"""with {FULL}, {_xs_cte('momentum')}, nn as (select *, count(*) over () n from xs), o as (select least(bar // (n // 6), 5) fold, {Q.total()} r from nn group by 1)
+select 'momentum' as name, cast(sum(case when r > 0 then 1 else 0 end) as bigint) profitable, count(*) folds, case when sum(case when r > 0 then 1 else 0 end) >= 0.6 * count(*) - 1e-12 then 'PASS' else 'FAIL' end verdict from o""")
+def xs_gate(spark, sf_dir):
+    net = panels.xs_portfolio(panel(spark, sf_dir), k=5, **SCORES["momentum"][1])
+    return battery.stream_gate(net.withColumn("name", F.lit("momentum")), ["name"])
+
+
+@query(f"""{MURPHY}, s as (select avg((prob - outcome) * (prob - outcome)) brier, var_pop(outcome) brier_base from f) select n, round(1 - brier / brier_base, 8) skill, round(resolution, 8) resolution, coalesce(1 - brier / brier_base > 0.01 and resolution > 0.001, false) survives from m, s""")
+def forecast_verdict(spark, sf_dir):
+    d = calibration.useful(calibration.calibration_report(forecasts(spark, sf_dir)))
+    return d.select("n", r("skill").alias("skill"), r("resolution").alias("resolution"), "survives")
+
+
+@query(f"""with o as (select asset, max(case when overlay = 'target' then sharpe end) > max(case when overlay = 'hold' then sharpe end) higher_sharpe, max(case when overlay = 'target' then vol_cv end) < max(case when overlay = 'hold' then vol_cv end) steadier,
+max(case when overlay = 'target' then max_drawdown end) > max(case when overlay = 'hold' then max_drawdown end) shallower from ({SQL['vol_target_report']}) group by asset) select *, higher_sharpe and steadier and shallower survives from o""")
+def overlay_verdict(spark, sf_dir):
+    return volatility.overlay_wins(vol_target_report(spark, sf_dir), KEY)
+
+
+@query(f"""with {BARS}, pr as (select asset, bar, close, {Q.ret()} ret from bars), pj as (select a.asset asset_a, b.asset asset_b, a.bar, ln(a.close) - ln(b.close) x from pr a join pr b on a.bar = b.bar and a.asset < b.asset)
+select asset_a, asset_b, count(*) n, round(avg(close), 6) mean_close, round(min(close), 6) low, round(max(close), 6) high from (select *, 100 * exp(x - avg(x) over (partition by asset_a, asset_b)) as close from pj) group by 1, 2""")
+def spread_prices(spark, sf_dir):
+    d = panels.spread_prices(panels.pair_frames(bars_once(spark, sf_dir).select("asset", "bar", "close")))
+    return d.groupBy("asset_a", "asset_b").agg(F.count(F.lit(1)).alias("n"), *(r(f("close"), 6).alias(n) for f, n in ((F.avg, "mean_close"), (F.min, "low"), (F.max, "high"))))
 
 
 @query(f"with {BARS}, r as (select asset, bar, {Q.ret()} x from bars), m as (select *, avg(x) over (partition by asset) mu, lead(x) over (partition by asset order by bar) nx from r) select asset, round(case when sum((x - mu) * (x - mu)) <= 1e-12 then 0 else sum((x - mu) * (nx - mu)) / sum((x - mu) * (x - mu)) end, 8) autocorr from m group by asset")
