@@ -305,6 +305,55 @@ def test_pairs_pnl_has_all_pairs(spark, tiny, monkeypatch):
     assert len(got) == 15 * 14 // 2 and {r["count"] for r in got} == {40}
 
 
+def test_gates_of_streams(spark):
+    rows = [("gain", b, 0.01) for b in range(60)] + [("none", b, 0.0) for b in range(60)] + [("half", b, 0.01 if b < 10 else -0.01 if b < 20 else 0.0) for b in range(60)]
+    d = spark.createDataFrame(rows, "asset string, bar int, net double")
+    got = {r.asset: (r.profitable, r.folds, r.verdict) for r in battery.stream_gate(d, KEY, active_only=True).collect()}
+    assert got == {"gain": (6, 6, "PASS"), "none": (0, 0, "N/A"), "half": (1, 2, "PASS")}
+    got = {r.asset: r.verdict for r in battery.stream_gate(d, KEY).collect()}
+    assert got == {"gain": "PASS", "none": "FAIL", "half": "FAIL"}
+
+
+def test_survive_rules(spark):
+    d = spark.createDataFrame([("A", "hold", 0.5, 0.3, -0.4), ("A", "target", 0.6, 0.2, -0.3), ("B", "hold", 0.5, 0.3, -0.4), ("B", "target", 0.6, 0.4, -0.3)], "asset string, overlay string, sharpe double, vol_cv double, max_drawdown double")
+    assert {r.asset: r.survives for r in volatility.overlay_wins(d, KEY).collect()} == {"A": True, "B": False}
+    d = spark.createDataFrame([(0.02, 0.002), (0.02, 0.0005), (None, 0.1)], "skill double, resolution double")
+    assert [r.survives for r in calibration.useful(d).collect()] == [True, False, False]
+
+
+def test_draws_are_permutations_without_bias(spark):
+    d = spark.createDataFrame([("A", b, float(b)) for b in range(40)], "asset string, bar int, v double")
+    p = scenarios.shuffle_values(d, KEY, "v", 2000).toPandas().pivot(index="perm_id", columns="bar", values="v").to_numpy()
+    assert (np.sort(p, axis=1) == np.arange(40)).all() and len(np.unique(p, axis=0)) == 2000
+    seen = np.zeros((40, 40))
+    np.add.at(seen, (np.tile(np.arange(40), 2000), p.astype(int).ravel()), 1)
+    assert ((seen - 50) ** 2 / 50).sum() < 1800  # 39 * 39 = 1521 expected
+    assert abs(np.corrcoef(p[:-1].ravel(), p[1:].ravel())[0, 1]) < 0.02
+
+
+def test_hrp_equals_its_definition():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 9)) @ rng.normal(size=(9, 9))
+    cov = np.cov(x.T)
+    got = structure.hrp(cov)
+
+    def share(part):
+        v = 1 / cov[part, part]
+        return float((v / v.sum()) @ cov[np.ix_(part, part)] @ (v / v.sum()))
+
+    def descend(part, weight):
+        if len(part) == 1:
+            return {part[0]: weight}
+        left, right = part[: len(part) // 2], part[len(part) // 2 :]
+        a, b = share(left), share(right)
+        return {**descend(left, weight * b / (a + b)), **descend(right, weight * a / (a + b))}
+
+    corr = np.corrcoef(x.T)
+    order = structure.leaf_order(np.sqrt(np.clip((1 - corr) / 2, 0, 1)))
+    want = descend(order, 1.0)
+    assert got == pytest.approx([want[i] for i in range(9)]) and got.sum() == pytest.approx(1)
+
+
 def test_grid_verdicts_ask_for_gate_and_audit(spark, tiny, monkeypatch):
     d = frame(spark, path(400, 11, phi=-0.6))
     out = {r.strategy: r for r in battery.grid_verdicts(d, {"reversal": lambda d, k: strategies.reversal(d, k, 1), "peek": strategies.peek}, KEY, n_perm=50).collect()}

@@ -109,3 +109,32 @@ def test_assemble_filings(spark):
     a, b = prices.assemble_filings(ratios, metrics).orderBy("date_filed").collect()
     assert (str(a.date_filed), a.pe, a.pb, a.roe, a.market_cap) == ("2020-05-06", 1.5, 6.0, 0.7, 200.0)
     assert (str(b.date_filed), b.pe, b.pb, b.market_cap) == ("2020-09-18", None, 3.0, None)
+
+
+def test_candles_and_funding_of_pages(spark, tmp_path):
+    row = lambda t: [str(t), "1", "3", "0.5", str(t % 7), "x"]
+    page = lambda n, rows, code="0": (tmp_path / n).write_text(json.dumps({"code": code, "data": rows}))
+    page("A", [row(3000), row(2000)])
+    page("A2000", [row(2000), row(1000)])
+    page("A1000", [row(500)])
+    page("A500", [row(1)])
+    page("B", [row(1)], "51001")
+    d = http.read_candles(spark, ["A", "B", "C"], url=f"file://{tmp_path}/{{symbol}}", more="{after}", full="2", tries="1")
+    got = sorted((r.asset, r.bar_ts.timestamp(), r.close) for r in d.collect())
+    assert got == [("A", 0.5, 3.0), ("A", 1.0, 6.0), ("A", 2.0, 5.0), ("A", 3.0, 4.0)]
+    (tmp_path / "F").write_text(json.dumps({"code": "0", "data": [{"fundingTime": "8000", "fundingRate": "0.0001"}, {"fundingTime": "8000", "fundingRate": ""}]}))
+    assert [(r.asset, r.rate) for r in http.read_funding(spark, ["F"], url=f"file://{tmp_path}/{{symbol}}").collect()] == [("F", 0.0001)]
+
+
+def test_too_many_requests_wait(monkeypatch):
+    import urllib.error
+
+    slept, answers = [], [429, 500]
+
+    def opener(url, timeout):
+        if answers:
+            raise urllib.error.HTTPError(url, answers.pop(0), "", None, None)
+        return io.StringIO("[1]")
+
+    monkeypatch.setattr(http.time, "sleep", slept.append)
+    assert http.get_json("x", 3, 0.1, opener, 9.0) == [1] and slept == [9.0, 0.1]
