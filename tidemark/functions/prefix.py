@@ -32,7 +32,7 @@ def running(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str]
     upto = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     blocks = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    place = F.struct(*order)
+    place = F.struct(*order) if len(order) > 1 else F.col(order[0])  # plain numbers are aggregated by hash, structs after a sort
     df = df.dropna(subset=[*keys, block])
     local, totals, carried, out = df, [], [], {}
     for name, (kind, expr) in aggs.items():
